@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from topicloom.llm._common import table
 from topicloom.llm.bpe import count_tokens, decode, encode
 from topicloom.llm.cooccurrence import baskets, cooccurrence
-from topicloom.llm.mixing import mix, sized, source_name, source_report
+from topicloom.llm.mixing import mix, sized, source_report
 from topicloom.llm.near_duplicates import NearDuplicates
 from topicloom.llm.neighbours import neighbours
+from topicloom.llm.reading_level import band, fit_on, reading_level
 from topicloom.llm.term_frequency import term_frequency
 from topicloom.llm.top_n import top_n
 
@@ -79,7 +80,20 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix(sized(table(spark, d, "documents"), weights), weights)[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_surprise, p4_found, p4_groups, p5_found, p6_ids, p6_decoded, p7_found, p7_report, p7_mixture)}
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return reading_level(docs, fit_on(docs)).withColumn("band", band(F.col("grade")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d).where((F.col("n_words") >= 40) & F.col("band").isin("basic", "advanced")).select("doc_id", "band")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p3_found, p3_surprise, p4_found, p4_groups, p5_found, p6_ids, p6_decoded, p7_found, p7_report, p7_mixture, p8_found, p8_levels)}
 
 _DOC_WORDS = """one as (select doc_id, arg_min(words, added_at) as words from tmdocs where doc_id is not null group by doc_id),
  raw as (select doc_id, lower(trim(w, ' ' || chr(9))) as word from (select doc_id, unnest(words) as w from one) where w is not null),
