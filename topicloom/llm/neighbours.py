@@ -14,12 +14,13 @@ from topicloom.llm._common import one_delivery, written
 
 #: A vector is represented by its so many nearest pivots in order, and posted in the files of the
 #: first POSTED of them.
-PREFIX, POSTED = 8, 2
+PREFIX, POSTED = 8, 3
 #: At most so many pivots; 2 * sqrt(vectors) below.
-MAX_PIVOTS = 65_536
+MAX_PIVOTS = 65_535
 #: A pivot's file is read in blocks of about so many postings.
 BLOCK = 4096
-#: Candidates with the least footrule distance that are reranked, for each vector and file.
+#: Candidates with the least footrule distance that are reranked, for each vector and file; more if
+#: they tie.
 RERANKED = 32
 #: Postings hold half-precision vectors: cosines there are this exact.
 HALF = 0.004
@@ -41,7 +42,7 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     m = min(PREFIX, len(pivots))
     s = x @ pivots.T
     part = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1) if m < len(pivots) else np.broadcast_to(np.arange(m), (len(x), m))
-    return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1).astype(np.int32)
+    return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1).astype(np.uint16)
 
 
 def footrule(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -62,7 +63,7 @@ def footrule(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 def _rows(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False)
     half = np.frombuffer(b"".join(table.column("half").to_pylist()), np.float16).reshape(len(ids), dims).astype(np.float32)
-    prefix = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.int32).reshape(len(ids), -1)
+    prefix = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.uint16).reshape(len(ids), -1)
     return ids, half, prefix, table.column("part").to_numpy()
 
 
@@ -79,13 +80,12 @@ def _best(dims: int, k: int, least: float):
             if same:
                 far[np.arange(len(x)), a + np.arange(len(x))] = 1000  # itself
             c = min(RERANKED, len(ids_d))
-            near = np.argpartition(far, c - 1, axis=1)[:, :c] if c < len(ids_d) else np.broadcast_to(np.arange(c), far.shape)
-            cos = np.einsum("ij,ikj->ik", x, x_d[near])
-            cos[np.take_along_axis(far, near, 1) >= 1000] = -2
-            bar = np.partition(cos, c - k, axis=1)[:, c - k] if c > k else np.full(len(x), -2.0)
+            near = far <= np.partition(far, c - 1, axis=1)[:, c - 1 : c]  # with all that tie with the last
+            cos = np.where(near & (far < 1000), x @ x_d.T, -2)
+            bar = np.partition(cos, len(ids_d) - k, axis=1)[:, len(ids_d) - k] if len(ids_d) > k else np.full(len(x), -2.0)
             i, j = np.nonzero((cos > -2) & (cos >= np.maximum(bar - 2 * HALF, least - HALF)[:, None]))
             got_q.append(ids_q[a + i])
-            got_d.append(ids_d[near[i, j]])
+            got_d.append(ids_d[j])
         return np.concatenate(got_q), np.concatenate(got_d)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -135,7 +135,7 @@ def neighbours(rows: DataFrame, *, dims: int, k: int = 5, least: float = -1.0, i
                 x = _directions(part.column(1), dims)
                 prefix = nearest_pivots(x, pivots.value)
                 cells = prefix[:, :POSTED]
-                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
                 half = x.astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in half], pa.binary()), pa.array([r.tobytes() for r in prefix], pa.binary()), lists], ["id", "v", "half", "prefix", "cells"])
 
