@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm._common import one_delivery, word_list, written
@@ -139,6 +139,44 @@ def _signed(weights, largest: float):
     return run
 
 
+def _met(least: float):
+    """mapInArrow function over rows (key, id, size, sketch) sorted by key and id: (a, b) of the rows
+    that share a key, unless their sizes or sketches rule them out. A run of equal keys is compared
+    at distance 1, 2, ... all at once; nothing but what passes is handed on."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, ids, size, bits = (rows.column(i).to_numpy() for i in range(4))
+        bits = bits.view(np.uint64)
+        got_a, got_b, at, d = [], [], np.arange(len(key)), 0
+        while len(at):
+            d += 1
+            at = at[: np.searchsorted(at, len(key) - d)]
+            at = at[key[at] == key[at + d]]
+            x, y = size[at], size[at + d]
+            near = (x >= least * y) & (y >= least * x) & (np.bitwise_count(bits[at] ^ bits[at + d]) <= SKETCH_DIFFER) & (ids[at] != ids[at + d])
+            got_a.append(ids[at[near]])
+            got_b.append(ids[at[near] + d])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else ids[:0]) for x in (got_a, got_b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []  # the last run may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last or (open_ and open_[0].column(0)[0].as_py() != key[0]):
+                whole = pa.Table.from_batches([*open_, batch.slice(0, last)])
+                open_.clear()
+                if whole.num_rows > 1:
+                    yield pairs(whole)
+            open_.append(batch.slice(last))
+        if open_:
+            yield pairs(pa.Table.from_batches(open_))
+
+    return run
+
+
 def _sorted_words(words):
     return F.array_sort(F.array_distinct(word_list(words)))
 
@@ -186,11 +224,9 @@ class NearDuplicates:
         known, largest = self._weights()
         shared = self.spark.sparkContext.broadcast(known)
         signed = self.classes.select("id", "words").mapInArrow(_signed(shared, largest), f"id {dict(self.classes.dtypes)['id']}, size int, sketch long, keys array<long>")
-        bands = signed.select(F.explode("keys").alias("key"), "id", "size", "sketch")
-        x, y = bands.alias("x"), bands.alias("y")
-        near = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_DIFFER
-        sizes = (F.col("x.size") >= self.least * F.col("y.size")) & (F.col("y.size") >= self.least * F.col("x.size"))
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & sizes & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        bands = signed.select(F.explode("keys").alias("key"), "id", "size", "sketch").repartition("key").sortWithinPartitions("key", "id")
+        kind = dict(self.classes.dtypes)["id"]
+        return bands.mapInArrow(_met(self.least), f"a {kind}, b {kind}").distinct()
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
         a = self.classes.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("copies").alias("ca"))

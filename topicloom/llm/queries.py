@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm._common import table
-from topicloom.llm.bpe import count_tokens, decode, encode
+from topicloom.llm.bpe import decode, encode
 from topicloom.llm.cooccurrence import baskets, cooccurrence
 from topicloom.llm.mixing import mix, sized, source_report
 from topicloom.llm.near_duplicates import NearDuplicates
