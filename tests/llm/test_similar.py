@@ -3,7 +3,6 @@
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from topicloom.llm import near_duplicates as nd
 from topicloom.llm.neighbours import footrule, neighbours
