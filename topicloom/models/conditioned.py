@@ -133,14 +133,13 @@ class DMR(LDA):
         return shares(F.col("nd"), F.col("s"))
 
     def doc_ll(self) -> float:
-        k, w, lam, eps = self.k, self.width(), self.lam, self.alpha_epsilon
+        lam, eps = self.lam, self.alpha_epsilon
 
         def part(x: np.ndarray, nd: np.ndarray, _: np.ndarray) -> np.ndarray:
             a = np.exp(x @ lam.T) + eps
             s, n = a.sum(1), nd.sum(1)
             return np.array([(lgamma(s) - lgamma(s + n) + (lgamma(nd + a) - lgamma(a)).sum(1)).sum()])
 
-        del k, w
         return float(partial_sums(self.rows, part, 1)[0])
 
     def topic_prior(self, metadata: str | None = None, multi_metadata: tuple[str, ...] = (), raw: bool = False) -> np.ndarray:

@@ -236,9 +236,6 @@ class HLDA(LDA):
             out[i] = nd
         return out
 
-    def _counted(self) -> np.ndarray:
-        return super()._counted()
-
     def merge(self) -> None:
         self.n = self._counted()
         self.customers = np.zeros(len(self.parent))
@@ -252,9 +249,6 @@ class HLDA(LDA):
         self._fits()
         self.n = np.concatenate([self.n, np.zeros((self.v, len(self.parent) - self.n.shape[1]))], 1)
 
-    def doc_ll(self) -> float:
-        return super().doc_ll()
-
     def is_live_topic(self, topic: int) -> bool:
         return bool(self.customers[topic] > 0)
 

@@ -116,9 +116,7 @@ class PA(LDA):
         return self.subalpha / self.subalpha.sum(1, keepdims=True)
 
     def doc_ll(self) -> float:
-        return float("nan") if not self.v else self._super_ll()
-
-    def _super_ll(self) -> float:
+        """Of the super topics."""
         sup = self.rows.select(F.posexplode(self._super()).alias("k", "n")).groupBy("k", "n").agg(F.count("*").alias("c")).toArrow().to_pandas()
         tot = self.rows.select(F.aggregate("nd", F.lit(0.0), lambda s, x: s + x).alias("n")).groupBy("n").agg(F.count("*").alias("c")).toArrow().to_pandas()
         a = self.alpha[sup["k"].to_numpy()]

@@ -575,6 +575,19 @@ def explore_density(spark, d):
     return explore.density(table(spark, d, "documents"), "lang", "n_chars", low=0.0, high=3000.0, points=33, width=250.0)
 
 
+@query("word:string topic_0:double topic_1:double topic_2:double topic_3:double topic_4:double", f"with {PHI} select word, " + ", ".join(f"max(case when z = {i} then p end) as topic_{i}" for i in range(K)) + " from phi group by wid, word")
+def export_topic_words(spark, d):
+    from topicloom.sources.corpus import wide_topic_words
+
+    a, v = read(spark, d)
+    return wide_topic_words(readout.topic_word_dist(a, v, K, ETA), K)
+
+
+@query("doc_id:bigint z:int", f"with {THETA} select doc_id, min(z) as z from (select *, max(p) over (partition by doc_id) as m from theta) where p = m group by doc_id")
+def export_top1_topic(spark, d):
+    return explore.top1_topics(theta(spark, d))
+
+
 # --- model formulas ---------------------------------------------------------------------------------
 
 _MD = "md as (select metadata, row_number() over (order by metadata) - 1 as f from (select distinct metadata from tmdocs where metadata is not null))"
