@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.hashing import mix
 from topicloom.llm._common import one_delivery, word_list, written
 
 #: A band has so many coordinates.
@@ -22,49 +23,46 @@ MAX_WEIGHTS = 50_000
 #: Classes of exact copies up to this size come out as all their pairs, larger ones as a star.
 ALL_PAIRS = 256
 _LEAST_WEIGHT = 0.1
-#: Chance of so many darts or more in a unit square: a Poisson variable of mean 1.
-_POISSON = 1 - np.cumsum(np.exp(-1) / np.r_[1.0, np.cumprod(np.arange(1.0, 16))])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit hash of 64-bit integers (the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Darts in a unit square (a Poisson variable of mean 1) by the first 16 bits of the square's hash.
+_DARTS = np.searchsorted(np.cumsum(np.exp(-1) / np.r_[1.0, np.cumprod(np.arange(1.0, 16))]), (np.arange(2**16) + 0.5) / 2**16).astype(np.int64)
+_EMPTY = np.uint64(2**64 - 1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(11)).astype(np.float64) / 2**53
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place) for i repeated counts[i] times, places 0, 1, ... of each."""
+    i = np.repeat(np.arange(len(counts)), counts)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element index, coordinate, value) of the darts that hit each element's region
-    [0, weight) x [0, reach), ordered by element and value. elements: 64-bit hashes.
+class Darts:
+    """The darts that hit each element's region [0, weight) x [0, reach).
 
     The plane of an element is covered with unit squares; each holds Poisson(1) darts at places
     hashed from element and square. So the same darts fall wherever the element occurs, whatever the
-    batch. value has the dart's rank in its high 40 bits and a hash in the low 24.
+    batch. elements: 64-bit hashes. Darts are ordered by element and whole rank; value has the rank
+    in its high 40 bits and a hash in the low 24.
     """
-    wide, high = np.ceil(weights).astype(np.int64), np.ceil(reach).astype(np.int64)
-    squares = wide * high
-    e = np.repeat(np.arange(len(elements)), squares)
-    at = np.arange(len(e)) - np.repeat(np.cumsum(squares) - squares, squares)
-    column, row = at // high[e], at % high[e]
-    seed = _mix(elements[e] ^ _mix((column.astype(np.uint64) << np.uint64(32)) + row.astype(np.uint64) + np.uint64(1)))
-    n = np.searchsorted(-_POISSON, -_unit(seed), side="right")
-    d = np.repeat(np.arange(len(e)), n)
-    no = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-    own = _mix(seed[d] + (no.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    hit = column[d] + _unit(_mix(own ^ np.uint64(0x5851F42D4C957F2D))) < weights[e[d]]
-    d, own = d[hit], own[hit]
-    rank = row[d] + _unit(_mix(own ^ np.uint64(0x14057B7EF767814F)))
-    value = ((rank * 2**20).astype(np.uint64) << np.uint64(24)) | (own & np.uint64(2**24 - 1))
-    coordinate = (_mix(own ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(k)).astype(np.int64)
-    order = np.lexsort((value, e[d]))
-    return e[d][order], coordinate[order], value[order]
 
-
-_EMPTY = np.uint64(2**64 - 1)
+    def __init__(self, elements: np.ndarray, weights: np.ndarray, reach: np.ndarray, k: int) -> None:
+        self.wide, self.high = np.ceil(weights).astype(np.int64), np.ceil(reach).astype(np.int64)
+        strip_of, rank = _each(self.high)  # a row of squares
+        strip, column = _each(self.wide[strip_of])
+        e, row = strip_of[strip], rank[strip]
+        seed = mix(elements[e] ^ mix((column << 32).view(np.uint64) + row.view(np.uint64) + np.uint64(1)))
+        square, no = _each(_DARTS[seed >> np.uint64(48)])
+        own = mix(seed[square] + (no.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        hit = column[square] + (own >> np.uint64(44)).astype(np.float64) / 2**20 < weights[e[square]]
+        square, own = square[hit], own[hit]
+        self.value = (row[square].view(np.uint64) << np.uint64(44)) + (own & np.uint64(2**44 - 1))
+        self.coordinate = (mix(own) % np.uint64(k)).astype(np.int64)
+        self.first = np.r_[0, np.cumsum(np.bincount(square, minlength=len(strip)))]
+        self.start = np.r_[0, np.cumsum(self.wide * self.high)]
+
+    def below(self, element: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number) of each element's darts below the reach, rounded up."""
+        rows = np.minimum(np.ceil(reach).astype(np.int64), self.high[element])
+        start = self.first[self.start[element]]
+        return start, self.first[self.start[element] + rows * self.wide[element]] - start
 
 
 def signatures(record: np.ndarray, element: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_records: int, k: int) -> np.ndarray:
@@ -73,30 +71,26 @@ def signatures(record: np.ndarray, element: np.ndarray, hashes: np.ndarray, weig
     estimates the weighted Jaccard similarity of their elements."""
     out = np.full((n_records, k), _EMPTY)
     mass = np.bincount(record, weights[element], n_records)
-    wanted = k * (np.log(k) + 4)  # darts that leave no coordinate empty, in most records
+    wanted = k * (np.log(k) + 3)  # darts that leave no coordinate empty, in most records
     while len(record):
-        reach = np.minimum(wanted / mass, 2.0**20)
+        reach = np.minimum(wanted / mass, 2.0**19)
         most = np.zeros(len(hashes))
         np.maximum.at(most, element, reach[record])
         used = np.flatnonzero(most)
         to_used = np.zeros(len(hashes), np.int64)
         to_used[used] = np.arange(len(used))
-        e, coordinate, value = darts(hashes[used], weights[used], most[used], k)
-        start = np.searchsorted(e, np.arange(len(used)))
-        # darts of an element below a record's reach: those with e and rank up to it, in value order
-        key = e.astype(np.float64) * 2.0**21 + (value >> np.uint64(24)).astype(np.float64) / 2**20
-        mine = to_used[element]
-        count = np.searchsorted(key, mine * 2.0**21 + reach[record]) - start[mine]
+        thrown = Darts(hashes[used], weights[used], most[used], k)
+        start, count = thrown.below(to_used[element], reach[record])
         total = np.cumsum(count)
         a = 0
         while a < len(record):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 3_000_000, side="right")))
-            c = count[a:b]
-            at = np.repeat(start[mine[a:b]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            np.minimum.at(out.reshape(-1), np.repeat(record[a:b], c) * k + coordinate[at], value[at])
+            pair, place = _each(count[a:b])
+            at = start[a:b][pair] + place
+            np.minimum.at(out.reshape(-1), record[a:b][pair] * k + thrown.coordinate[at], thrown.value[at])
             a = b
         short = (out == _EMPTY).any(1)
-        keep = short[record] & (reach[record] < 2.0**20)
+        keep = short[record] & (reach[record] < 2.0**19)
         record, element, wanted = record[keep], element[keep], wanted * 2
     return out
 
@@ -106,13 +100,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     by_band = signature.reshape(len(signature), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), by_band.shape[:2])
     for i in range(ROWS):
-        key = _mix(key ^ by_band[:, :, i]) + np.uint64(i)
+        key = mix(key ^ by_band[:, :, i]) + np.uint64(i)
     return key.view(np.int64)
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
     """int64: a bit of each of the first 64 coordinates."""
-    bits = (_mix(signature[:, :64]) & np.uint64(1)).astype(np.uint8)
+    bits = (mix(signature[:, :64]) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
