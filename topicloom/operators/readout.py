@@ -114,12 +114,13 @@ def jacobi_sweep(assigned: DataFrame, vocab: DataFrame, k: int, alpha: float, et
     left out. seed: a whole number for each token. allowed: array<boolean> by topic, or all."""
     v = vocab.agg(F.sum(F.col("used").cast("long")).alias("v"))
     totals = assigned.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("z") == i, F.col("w"))), F.lit(0.0)) for i in range(k)]).alias("nk"))
-    t = assigned.join(doc_arrays(assigned, k).withColumnRenamed("n", "nd"), "doc_id").join(word_arrays(assigned, k).withColumnRenamed("n", "nw"), "wid").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(v))
+    base = assigned if allowed is None else assigned.withColumn("_ok", allowed)
+    t = base.join(doc_arrays(assigned, k).withColumnRenamed("n", "nd"), "doc_id").join(word_arrays(assigned, k).withColumnRenamed("n", "nw"), "wid").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(v))
     own = [F.when(F.col("z") == i, F.col("w")).otherwise(0.0) for i in range(k)]
     e = lambda c, i: F.element_at(c, i + 1)
     p = [(e("nd", i) - own[i] + alpha) * (e("nw", i) - own[i] + eta) / (e("nk", i) - own[i] + F.col("v") * eta) for i in range(k)]
     if allowed is not None:
-        p = [F.element_at(allowed, i + 1).cast("double") * x for i, x in enumerate(p)]
+        p = [F.element_at("_ok", i + 1).cast("double") * x for i, x in enumerate(p)]
     t = t.withColumn("_p", F.array(*p))
     cum = [F.element_at("_p", 1)]
     for i in range(1, k):

@@ -13,7 +13,7 @@ from topicloom.functions.special import legendre
 from topicloom.functions.text import TOKEN_PATTERN, token_list
 from topicloom.operators import coherence as coh
 from topicloom.operators import corpus, explore, labeling, ngrams, readout
-from topicloom.sources.tables import table
+from topicloom.sources.tables import spread, table, written
 
 K, ALPHA, ETA, MIN_DF, RM_TOP = 5, 0.1, 0.01, 5, 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,7 @@ def query(spec: str, sql: str):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").where("text is not null"))
 
 
 def toks(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +67,9 @@ def assigned(spark: SparkSession, d: str, v: DataFrame, k: int = K) -> DataFrame
 
 
 def read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assigned tokens, written once since most read-outs use them more than once, and vocabulary."""
     v = vocab(spark, d)
-    return assigned(spark, d, v), v
+    return written(assigned(spark, d, v), "assigned"), v
 
 
 _PAT = TOKEN_PATTERN.replace("'", "''")
@@ -388,8 +389,6 @@ def jacobi_sweep_1(spark, d):
 
 @query("z:int wid:int n:bigint", f"with {ASG}, {KS}, {_sweep_sql('asg', 's1', 'a.doc_id * 1009 + a.pos * 7 + 1')}, {_sweep_sql('s1', 's2', 'a.doc_id * 1009 + a.pos * 7 + 2')} select z, wid, count(*) as n from s2 group by z, wid")
 def jacobi_sweep_2(spark, d):
-    from topicloom.sources.tables import written
-
     a, v = read(spark, d)
     one = written(readout.jacobi_sweep(a, v, K, ALPHA, ETA, _seed(1)), "sweep")
     return readout.jacobi_sweep(one, v, K, ALPHA, ETA, _seed(2)).groupBy("z", "wid").agg(F.count("*").alias("n"))
@@ -500,8 +499,8 @@ def coh_grid_indirect(spark, d):
 
 def _labels(spark, d, window: int) -> DataFrame:
     a, v = read(spark, d)
-    dist = readout.topic_word_dist(a, v, K, ETA)
-    w = word_docs(spark, d)
+    dist = written(readout.topic_word_dist(a, v, K, ETA), "dist")
+    w = written(word_docs(spark, d), "words")
     cands = ngrams.bigrams(w, min_cf=20, min_df=10).select(F.array("w1", "w2").alias("words"))
     return labeling.topic_labels(dist, cands, w, k=K, min_df=5, window_size=window)
 
@@ -548,8 +547,9 @@ def theta(spark, d) -> DataFrame:
 @query("doc_id:bigint p:double", f"with {THETA}, t0 as (select doc_id from theta where z = 0 and p >= 0.15), t2 as (select doc_id, p from theta where z = 2) select doc_id, p from ws join t0 using (doc_id) join t2 using (doc_id) where contains(lower(text), 'model') and lang = 'en' and n_chars between 100 and 5000 order by p desc, doc_id desc limit 30 offset 10")
 def explore_filter_page(spark, d):
     where = (F.col("lang") == "en") & F.col("n_chars").between(100, 5000)
-    page = explore.filter_page(docs(spark, d), theta(spark, d), sort_topic=2, target=0, least=0.15, keywords=("model",), where=where, page=1, per_page=10)
-    more = [explore.filter_page(docs(spark, d), theta(spark, d), sort_topic=2, target=0, least=0.15, keywords=("model",), where=where, page=i, per_page=10) for i in (2, 3)]
+    shares = written(theta(spark, d), "theta")
+    page = explore.filter_page(docs(spark, d), shares, sort_topic=2, target=0, least=0.15, keywords=("model",), where=where, page=1, per_page=10)
+    more = [explore.filter_page(docs(spark, d), shares, sort_topic=2, target=0, least=0.15, keywords=("model",), where=where, page=i, per_page=10) for i in (2, 3)]
     return page.unionByName(more[0]).unionByName(more[1])
 
 

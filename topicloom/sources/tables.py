@@ -36,6 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than cores (a small file) dealt out to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that written() made and nothing needs any more."""
     spark = df.sparkSession
