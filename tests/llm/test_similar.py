@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from topicloom.llm import near_duplicates as nd
 from topicloom.llm.neighbours import footrule, neighbours
@@ -50,6 +51,32 @@ def test_pairs_and_groups_equal_brute_force(spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in found.groups().collect()} == {(i, root[i], len(neighbours_[i])) for i in sets}
 
 
+@pytest.mark.parametrize("others", [0, 100])
+def test_a_template_with_rare_edits_is_found_whole(spark, others):
+    template = [f"t{i}" for i in range(12)]
+    rows = [[*template, f"a{i}", f"b{i}"] for i in range(50)] + [[f"o{i}_{j}" for j in range(14)] for i in range(others)]
+    got = nd.NearDuplicates(docs(spark, [(i, r, 1) for i, r in enumerate(rows)]), least=0.7).pairs()
+    assert {(r.doc_id_a, r.doc_id_b) for r in got.collect()} == set(combinations(range(50), 2))
+
+
+def test_splitting_hot_bands_loses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = collection(rng, 120)
+    given = docs(spark, [(i, r, 1) for i, r in enumerate(rows)])
+    want = {tuple(r) for r in nd.NearDuplicates(given, least=0.7).pairs().collect()}
+    monkeypatch.setattr(nd, "HOT", 2)
+    monkeypatch.setattr(nd, "SAMPLE", 1)
+    split = nd.NearDuplicates(given, least=0.7)
+    assert len(split._hot()) > 100 and {tuple(r) for r in split.pairs().collect()} == want == brute({i: set(r) for i, r in enumerate(rows) if len(set(r)) >= 12}, 0.7)
+
+
+def test_bands_and_sketch_keep_the_miss_rate():
+    for least in (0.3, 0.5, 0.7, 0.8, 0.95, 1.0):
+        bands, rows = nd.band_shape(least)
+        assert 1 <= bands <= nd.MAX_BANDS and (1 - least**rows) ** bands <= nd.MISS
+    assert nd.band_shape(0.7) == (59, 5) and 28.8 + 4 * 4.95 < nd.sketch_limit(0.7) < 28.8 + 6 * 4.95
+
+
 def test_many_copies_come_as_a_star(spark, monkeypatch):
     monkeypatch.setattr(nd, "ALL_PAIRS", 5)
     words = [f"w{i}" for i in range(20)]

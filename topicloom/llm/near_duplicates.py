@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,20 +13,20 @@ from pyspark.sql import functions as F
 from topicloom.functions.hashing import mix
 from topicloom.llm._common import one_delivery, word_list, written
 
-#: A band has so many coordinates.
-BANDS, ROWS = 40, 4
-#: Two signatures whose 64-bit sketches differ in more bits are no candidates.
-SKETCH_DIFFER = 26
-#: A word in at least 1/RARE of the records has a weight of its own; all rarer ones have the largest.
-RARE = 1000
-#: The words with a weight of their own are broadcast: this many at most.
-MAX_WEIGHTS = 50_000
+#: A pair at the threshold shares no band with this probability at most; as many bands as that takes, up to MAX_BANDS.
+MISS, MAX_BANDS = 2e-5, 64
+#: Bits of a sketch, and the probability at most that the sketches of a pair at the threshold rule it out.
+SKETCH, SKETCH_MISS = 192, 1e-6
+#: Bands of about HOT records or more, as a sample of 1/SAMPLE of the records shows, are split by words.
+HOT, SAMPLE = 4096, 64
+#: The hot bands, and the counts of words that order them, are broadcast: so many at most.
+MAX_HOT, MAX_COUNTS = 50_000, 50_000
 #: Classes of exact copies up to this size come out as all their pairs, larger ones as a star.
 ALL_PAIRS = 256
-_LEAST_WEIGHT = 0.1
 #: Darts in a unit square (a Poisson variable of mean 1) by the first 16 bits of the square's hash.
 _DARTS = np.searchsorted(np.cumsum(np.exp(-1) / np.r_[1.0, np.cumprod(np.arange(1.0, 16))]), (np.arange(2**16) + 0.5) / 2**16).astype(np.int64)
 _EMPTY = np.uint64(2**64 - 1)
+_SKETCHES = [f"sketch{i}" for i in range(SKETCH // 64)]
 
 
 def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,28 +96,75 @@ def signatures(record: np.ndarray, element: np.ndarray, hashes: np.ndarray, weig
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """[records, BANDS] int64: a hash of each band's coordinates and its number."""
-    by_band = signature.reshape(len(signature), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), by_band.shape[:2])
-    for i in range(ROWS):
-        key = mix(key ^ by_band[:, :, i]) + np.uint64(i)
-    return key.view(np.int64)
+def band_shape(least: float) -> tuple[int, int]:
+    """(bands, rows): the most coordinates a band can have with MAX_BANDS bands for which a pair of
+    similarity `least` shares none with probability MISS at most."""
+    at = min(max(least, 0.01), 0.99)
 
+    def bands(rows: int) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-(at**rows)))
+
+    rows = 1
+    while rows < 16 and bands(rows + 1) <= MAX_BANDS:
+        rows += 1
+    return bands(rows), rows
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """int64: a bit of each of the first 64 coordinates."""
-    bits = (mix(signature[:, :64]) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64).ravel()
 
+def sketch_limit(least: float) -> int:
+    """The bits in which the sketches of a pair of similarity `least` may differ: more only with
+    probability SKETCH_MISS. Each bit differs with probability (1 - least) / 2."""
+    p, above = (1 - least) / 2, 1.0
+    for c in range(SKETCH):
+        above -= math.comb(SKETCH, c) * p**c * (1 - p) ** (SKETCH - c)
+        if above <= SKETCH_MISS:
+            return c
+    return SKETCH
+
+
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[records, bands] uint64: a hash of each band's coordinates and its number."""
+    by_band = signature[:, : bands * rows].reshape(len(signature), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), by_band.shape[:2])
+    for i in range(rows):
+        key = mix(key ^ by_band[:, :, i]) + np.uint64(i)
+    return key
 
-def _signed(weights, largest: float):
-    """mapInArrow function: (id, words) -> (id, size, sketch, keys)."""
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """[records, SKETCH / 64] int64: a bit of each of the first SKETCH coordinates."""
+    bits = (mix(signature[:, :SKETCH]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def split_hot(keys: np.ndarray, hot: np.ndarray, least: float, record: np.ndarray, hashes: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys of each record) in which a hot key is replaced by one for each word of the
+    record's prefix: its size - ceil(least * size) + 1 words of least count. Two records of
+    similarity `least` have a word of both prefixes in common, so they still meet. record, hashes,
+    counts: of the pairs of record and word."""
+    is_hot = np.isin(keys, hot)
+    order = np.lexsort((hashes, counts, record))
+    place = np.arange(len(record)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    first = order[place < prefix[record]]  # pairs, by record
+    start = np.cumsum(prefix) - prefix
+    r, band = np.nonzero(is_hot)
+    at, no = _each(prefix[r])
+    split = mix(keys[r, band][at] ^ mix(hashes[first[start[r[at]] + no]]))
+    cold, cold_band = np.nonzero(~is_hot)
+    owner = np.r_[cold, r[at]]
+    by_record = np.argsort(owner, kind="stable")
+    return np.r_[keys[cold, cold_band], split][by_record], np.bincount(owner, minlength=len(keys))
+
+
+def _signed(least: float, hot, counts):
+    """mapInArrow function: (id, words) -> (id, size, sketch columns, keys). hot, counts: broadcasts
+    of the keys to split (sorted) and of the counts of the words that have one; counts is None if
+    there are no hot keys."""
+    bands, rows = band_shape(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = weights.value
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
@@ -125,31 +173,40 @@ def _signed(weights, largest: float):
                 encoded = words.flatten().dictionary_encode()
                 distinct = encoded.dictionary.to_pylist()
                 hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-                weight = np.fromiter((known.get(w, largest) for w in distinct), np.float64, len(distinct))
-                signature = signatures(np.repeat(np.arange(len(size)), size), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashes, weight, len(size), BANDS * ROWS)
-                keys = pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(signature).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), pa.array(sketch(signature)), keys], ["id", "size", "sketch", "keys"])
+                record, element = np.repeat(np.arange(len(size)), size), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                signature = signatures(record, element, hashes, np.ones(len(distinct)), len(size), max(bands * rows, SKETCH))
+                keys, of_each = band_keys(signature, bands, rows), np.full(len(size), bands)
+                if counts is not None:
+                    known = np.fromiter((counts.value.get(w, 0) for w in distinct), np.int64, len(distinct))
+                    keys, of_each = split_hot(keys, hot.value, least, record, hashes[element], known[element], size)
+                listed = pa.ListArray.from_arrays(np.r_[0, np.cumsum(of_each)].astype(np.int32), pa.array(keys.ravel().view(np.int64)))
+                bits = sketch(signature)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), *(pa.array(bits[:, i].copy()) for i in range(bits.shape[1])), listed], ["id", "size", *_SKETCHES, "keys"])
 
     return run
 
 
 def _met(least: float):
-    """mapInArrow function over rows (key, id, size, sketch) sorted by key and id: (a, b) of the rows
+    """mapInArrow function over rows (key, id, size, sketch columns) sorted by key and id: (a, b) of the rows
     that share a key, unless their sizes or sketches rule them out. A run of equal keys is compared
     at distance 1, 2, ... all at once; nothing but what passes is handed on."""
 
+    limit = sketch_limit(least)
+
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key, ids, size, bits = (rows.column(i).to_numpy() for i in range(4))
-        bits = bits.view(np.uint64)
+        key, ids, size, *bits = (rows.column(i).to_numpy() for i in range(rows.num_columns))
+        bits = [x.view(np.uint64) for x in bits]
         got_a, got_b, at, d = [], [], np.arange(len(key)), 0
         while len(at):
             d += 1
             at = at[: np.searchsorted(at, len(key) - d)]
             at = at[key[at] == key[at + d]]
             x, y = size[at], size[at + d]
-            near = (x >= least * y) & (y >= least * x) & (np.bitwise_count(bits[at] ^ bits[at + d]) <= SKETCH_DIFFER) & (ids[at] != ids[at + d])
-            got_a.append(ids[at[near]])
-            got_b.append(ids[at[near] + d])
+            near = at[(x >= least * y - 1e-9) & (y >= least * x - 1e-9) & (ids[at] != ids[at + d])]
+            differ = sum(np.bitwise_count(b[near] ^ b[near + d]).astype(np.int16) for b in bits)
+            near = near[differ <= limit]
+            got_a.append(ids[near])
+            got_b.append(ids[near + d])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else ids[:0]) for x in (got_a, got_b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +241,15 @@ class NearDuplicates:
     A record delivered again counts once. Other columns of docs are not read, whatever their names.
 
     1. Records with the same word set form a class, whose smallest id stands for all.
-    2. Each class gets a DartMinHash signature; a word weighs ln(records / its records), so what
-       all records share hardly counts towards a band. Words below 1/RARE of the records weigh
-       ln(RARE), which bounds the broadcast table of weights: a record of w words on average gives
-       at most RARE * w others.
-    3. Classes that share a band are candidates, unless their sizes or sketches rule them out.
+    2. Each class gets a DartMinHash signature of its word set, all words with the same weight.
+    3. Classes that share a band are candidates, unless their sizes or sketches rule them out. A
+       band of about HOT classes or more (many share frequent words) is split by the rarest words
+       of each, which loses no pair: similar sets share one of those.
     4. Candidates are checked exactly.
 
-    A pair of weighted similarity s is missed with probability (1 - s**4)**40: 0.4 % at 0.6, one in
-    60,000 at 0.7; at 0.6 the sketch loses another 0.1 % or less. Nothing else is left out.
+    With `least` 0.7 there are 59 bands of 5: a pair of similarity s is missed with probability
+    (1 - s**5)**59, 2e-5 at 0.7 and 5e-8 at 0.75; the sketch loses another 1e-6 at most. Other
+    thresholds have as many bands as keep it below MISS. Nothing else is left out.
     """
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", words_col: str = "words", order_col: str | None = "added_at", least: float = 0.8, min_words: int = 12) -> None:
@@ -207,18 +264,26 @@ class NearDuplicates:
         self.members = self.sets.select("id", "h1", "h2").join(shared, ["h1", "h2"]).select("id", "rep", "copies")
         self.links = written(self._checked(self._candidates()), "links")
 
-    def _weights(self) -> tuple[dict[str, float], float]:
-        totals = self.classes.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).first()
-        n, w = totals["n"], totals["w"] or 0
-        rare = max(2.0, min(RARE, MAX_WEIGHTS * n / max(w, 1)))  # so many words at most are this frequent
-        frequent = self.classes.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= n / rare)
-        return {r["w"]: max(_LEAST_WEIGHT, float(np.log(n / r["count"]))) for r in frequent.toLocalIterator()}, float(np.log(rare))
+    def _sign(self, classes: DataFrame, hot=None, counts=None) -> DataFrame:
+        kind = dict(classes.dtypes)["id"]
+        return classes.select("id", "words").mapInArrow(_signed(self.least, hot, counts), f"id {kind}, size int, {', '.join(f'{c} long' for c in _SKETCHES)}, keys array<long>")
+
+    def _hot(self) -> np.ndarray:
+        """The keys of the hot bands, sorted; of more than MAX_HOT the largest."""
+        sample = self._sign(self.classes.where(F.pmod("h1", F.lit(SAMPLE)) == 0))
+        large = sample.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= max(2, HOT // SAMPLE))
+        return np.sort(np.array([r["key"] for r in large.orderBy(F.desc("count"), "key").limit(MAX_HOT).collect()], np.int64).view(np.uint64))
+
+    def _counts(self) -> dict[str, int]:
+        """Words in so many classes that there can't be more than MAX_COUNTS, with their counts."""
+        total = self.classes.agg(F.sum(F.size("words"))).first()[0] or 0
+        frequent = self.classes.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= max(2, total / MAX_COUNTS))
+        return {r["w"]: r["count"] for r in frequent.toLocalIterator()}
 
     def _candidates(self) -> DataFrame:
-        known, largest = self._weights()
-        shared = self.spark.sparkContext.broadcast(known)
-        signed = self.classes.select("id", "words").mapInArrow(_signed(shared, largest), f"id {dict(self.classes.dtypes)['id']}, size int, sketch long, keys array<long>")
-        bands = signed.select(F.explode("keys").alias("key"), "id", "size", "sketch").repartition("key").sortWithinPartitions("key", "id")
+        hot, context = self._hot(), self.spark.sparkContext
+        signed = self._sign(self.classes, context.broadcast(hot), context.broadcast(self._counts())) if len(hot) else self._sign(self.classes)
+        bands = signed.select(F.explode("keys").alias("key"), "id", "size", *_SKETCHES).repartition("key").sortWithinPartitions("key", "id")
         kind = dict(self.classes.dtypes)["id"]
         return bands.mapInArrow(_met(self.least), f"a {kind}, b {kind}").distinct()
 
