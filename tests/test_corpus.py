@@ -1,9 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.operators import corpus, ngrams
+from topicloom.plans import catalog
 
 
 def texts(spark, *rows):
@@ -66,6 +68,21 @@ def test_collocations_of_the_small_corpus(spark):
     assert [r.word for r in merged.collect()] == ["a_b", "0", "d_e"]
 
 
+def test_phrase_concat_merges_every_phrase(spark, tmp_path):
+    rng = random.Random(1)
+    pairs = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(250)]
+    texts = []
+    for _ in range(12):
+        rng.shuffle(pairs)
+        texts.append(" ".join(f"first{p} second{p}" for p in pairs))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.word for r in catalog.QUERIES["phrase_concat"](spark, str(tmp_path)).select("word").distinct().collect()}
+    assert got == {f"first{p}_second{p}" for p in pairs}
+    with pytest.raises(ValueError):
+        corpus.listed_phrases(spark.range(101).select(F.array(F.col("id").cast("string")).alias("words")), 100)
+
+
 def test_longer_ngrams_and_short_documents(spark):
     w = words(spark, *[["x", "y", "z"]] * 4, ["x"], [])
     got = {tuple(r.words): r.cf for r in ngrams.ngrams(w, min_cf=2, min_df=2).collect()}

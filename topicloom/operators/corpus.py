@@ -19,6 +19,8 @@ from topicloom.sources.tables import written
 
 #: Positions within a document are below this.
 POSITIONS = 1 << 24
+#: Phrases are broadcast: at most this many.
+MAX_PHRASES = 100_000
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
@@ -100,6 +102,14 @@ def apply_to_words(tokens_: DataFrame, f: Callable[[str], str]) -> DataFrame:
     return tokens_.join(table, "word", "left").withColumn("word", F.col("_to")).drop("_to").select(*tokens_.columns)
 
 
+def listed_phrases(candidates: DataFrame, limit: int = MAX_PHRASES) -> list[tuple[str, ...]]:
+    """All phrases of candidates(words); more than limit, which merge_phrases would broadcast, are an error."""
+    phrases = [tuple(r["words"]) for r in candidates.select("words").limit(limit + 1).collect()]
+    if len(phrases) > limit:
+        raise ValueError(f"more than {limit} phrases")
+    return phrases
+
+
 def merge_phrases(tokens_: DataFrame, phrases: Iterable[tuple[str, ...]], delimiter: str = "_", texts: DataFrame | None = None) -> DataFrame:
     """tokens with the words of each listed phrase merged into one token at the place of the first:
     from left to right, the longest phrase first. Holes break phrases. With texts (doc_id, _raw) and
@@ -118,7 +128,7 @@ def merge_phrases(tokens_: DataFrame, phrases: Iterable[tuple[str, ...]], delimi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in (whole.slice(a, 200) for whole in batches for a in range(0, whole.num_rows, 200)):  # bounds what is held as objects
             out: dict[str, list] = {"doc_id": [], **{f: [] for f in fields}}
             for doc, ts, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 i = n = 0

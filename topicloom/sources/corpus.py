@@ -80,13 +80,10 @@ class Corpus:
         """See operators.ngrams.extract_ngrams."""
         return ngrams.extract_ngrams(self.docs.select("doc_id", "words"), **options)
 
-    def concat_ngrams(self, candidates: DataFrame, delimiter: str = "_", *, limit: int = 100_000) -> Corpus:
+    def concat_ngrams(self, candidates: DataFrame, delimiter: str = "_", *, limit: int = corpus.MAX_PHRASES) -> Corpus:
         """A corpus in which each of the candidates(words) is one word. At most limit phrases, which
         are broadcast."""
-        phrases = [tuple(r["words"]) for r in candidates.select("words").limit(limit + 1).collect()]
-        if len(phrases) > limit:
-            raise ValueError(f"more than {limit} phrases")
-        merged = corpus.merge_phrases(corpus.word_tokens(self.docs), phrases, delimiter)
+        merged = corpus.merge_phrases(corpus.word_tokens(self.docs), corpus.listed_phrases(candidates, limit), delimiter)
         words = merged.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
         out = Corpus(self.spark, self.tokenizer, self.stopwords)
         out.docs = self.docs.drop("words", "spans").join(words, "doc_id")
