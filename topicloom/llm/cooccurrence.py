@@ -185,7 +185,10 @@ def cooccurrence(records: DataFrame, *, least: dict[str, int], min_npmi: float,
 
     expected and log10_p: mean and upper tail of n_ab under the bipartite configuration null, fitted
     to all item frequencies and record sizes of the kind. surprising: rejected by Benjamini and
-    Hochberg at level fdr, among all pairs of items of the kind.
+    Hochberg at level fdr with the number of all pairs of items of the kind as the number of tests,
+    but with ranks among the pairs returned only. Pairs below min_npmi or least are not ranked, so
+    the cut is at most that of all pairs: what is surprising here is so among all, while borderline
+    pairs may be missing.
     """
     kinds = sorted(least)
     records = written(records.where(F.col("kind").isin(kinds)), "baskets")
