@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,15 @@ def test_streaming_inference(spark, docs, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.word, r.n) for r in spark.table("words").collect()} == {("a", 2), ("b", 1), ("a", 1)}
+
+
+def test_dynamic_topics_take_whole_langevin_steps():
+    n, k, rate, var = 4000, 3, 0.01, 0.1
+    block = SimpleNamespace(x=[[0.0]] * n, s=[None] * n, doc=np.arange(n), w=np.zeros((n, 0), int), counts=lambda k: np.zeros((n, k)))
+    models.DT.kernel(block, {"alphas": np.zeros((1, k)), "like": None, "seed": 1, "var": var, "rate": rate}, 0)
+    a = (1 - rate / 2 / var) ** 2
+    assert abs(np.std(block.s) / np.sqrt(rate * (1 + a + a**2)) - 1) < 0.05
+    m = models.DT(3, t=2, phi_var=1e6)
+    m.logits = np.zeros((2, 2000, 3))
+    m._drift(np.zeros((2, 2000, 3)), rate)
+    assert abs(m.logits.std() / np.sqrt(5 * 2 * rate) - 1) < 0.05

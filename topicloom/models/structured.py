@@ -409,13 +409,13 @@ class DT(LDA):
             a = block.active[t]
             block.z[:a, t] = draw(e[:a] * like[time[:a], block.w[:a, t]], u[:a, t])
         nd = block.counts(k)
-        noise = normals(g["seed"], block.doc, k, sweep, 1)
-        for _ in range(3):
+        for i in range(3):
             share = np.exp(eta - eta.max(1, keepdims=True))
             share /= share.sum(1, keepdims=True)
             slope = (mean - eta) / g["var"] + nd - nd.sum(1, keepdims=True) * share
-            eta = np.clip(eta + g["rate"] / 2 * slope, -20, 20)
-        block.s = list(np.clip(eta + np.sqrt(g["rate"]) * noise * 0.1, -20, 20))
+            noise = normals(g["seed"], block.doc, k, sweep, 1 + i)
+            eta = np.clip(eta + g["rate"] / 2 * slope + np.sqrt(g["rate"]) * noise, -20, 20)
+        block.s = list(eta)
         return nd
 
     def _counted(self) -> np.ndarray:
@@ -429,8 +429,17 @@ class DT(LDA):
         super().merge()
         if not self.v:
             return
-        rate = self._rate()
-        n = self.n.reshape(self.v, self.t, self.k).transpose(1, 0, 2)
+        self._drift(self.n.reshape(self.v, self.t, self.k).transpose(1, 0, 2), self._rate())
+        got = self.rows.groupBy(F.get("x", F.lit(0)).cast("int").alias("t")).agg(F.array(*[F.avg(F.get("s", F.lit(i))) for i in range(self.k)]).alias("m")).collect()  # a row for each time point
+        for r in got:
+            self.alphas[r["t"]] = r["m"]
+        if self.t > 1:
+            smooth = self.alphas.copy()
+            smooth[1:-1] = (self.alphas[:-2] + 2 * self.alphas[1:-1] + self.alphas[2:]) / 4
+            self.alphas = smooth
+
+    def _drift(self, n: np.ndarray, rate: float) -> None:
+        """Langevin steps of the topic word weights, given the counts n [time, word, topic]."""
         rng = np.random.Generator(np.random.Philox(key=[self.seed, self.global_step]))
         for _ in range(5):
             e = np.exp(self.logits - self.logits.max(1, keepdims=True))
@@ -441,15 +450,8 @@ class DT(LDA):
             pull[1:] += (behind - self.logits)[1:] / self.phi_var
             pull[0] -= self.logits[0] / (10 * self.phi_var)
             step = rate / (1 + n.sum(1, keepdims=True).mean() * 0.01)
-            self.logits = np.clip(self.logits + step * (pull + n - n.sum(1, keepdims=True) * share), -20, 20)
-        self.logits += 0.01 * math.sqrt(rate) * rng.standard_normal(self.logits.shape)
-        got = self.rows.groupBy(F.get("x", F.lit(0)).cast("int").alias("t")).agg(F.array(*[F.avg(F.get("s", F.lit(i))) for i in range(self.k)]).alias("m")).collect()  # a row for each time point
-        for r in got:
-            self.alphas[r["t"]] = r["m"]
-        if self.t > 1:
-            smooth = self.alphas.copy()
-            smooth[1:-1] = (self.alphas[:-2] + 2 * self.alphas[1:-1] + self.alphas[2:]) / 4
-            self.alphas = smooth
+            noise = math.sqrt(2 * step) * rng.standard_normal(self.logits.shape)
+            self.logits = np.clip(self.logits + step * (pull + n - n.sum(1, keepdims=True) * share) + noise, -20, 20)
 
     def optimize(self) -> None:
         """Priors move with every merge."""
