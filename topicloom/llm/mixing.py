@@ -43,17 +43,16 @@ def sized(docs: DataFrame, weights: DataFrame, *, vocabulary: str = DEFAULT_VOCA
     return written(counted.withColumn("h", h), "sized")
 
 
-def source_report(sizes: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, tokens, all_tokens, want, short): for each source of
-    weights its tokens t (0 without documents), the tokens T of all, target_share * T, and whether
-    even max_repeats passes over the source stay below that. A null share or repeat number counts
-    as 0; a source listed more than once counts with its largest share and repeats."""
+def budgets(sizes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats, tokens, all_tokens, want): for each source of weights its
+    tokens t (0 without documents), the tokens T of all, and target_share * T. A null share or repeat
+    number counts as 0; a source listed more than once counts with its largest share and repeats."""
     listed = weights.where("source is not null").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
     got = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     joined = listed.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     total = joined.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     want = F.col("target_share") * F.col("all_tokens")
-    return joined.crossJoin(F.broadcast(total)).withColumn("want", want).withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("want"))
+    return joined.crossJoin(F.broadcast(total)).withColumn("want", want)
 
 
 def thresholds(sizes: DataFrame, report: DataFrame, small: bool) -> DataFrame:
@@ -63,10 +62,11 @@ def thresholds(sizes: DataFrame, report: DataFrame, small: bool) -> DataFrame:
     The rest of the budget after full passes is found by nested histograms: tokens by source and the
     next BITS bits of h give the bucket in which the budget ends; only that bucket is split further.
     A source costs 2 ** BITS sums a level, however many documents it has. Budgets end at the document
-    that would exceed them. Sources that cannot reach their share get all their max_repeats passes.
+    that would exceed them. Sources that cannot reach their share, those without tokens among them,
+    get all their max_repeats passes.
     """
     t, repeats = F.col("tokens"), F.col("max_repeats")
-    full = F.when(t == 0, 0).otherwise(F.least(repeats, F.floor(F.col("want") / t))).cast("int")
+    full = F.when(t == 0, repeats).otherwise(F.least(repeats, F.floor(F.col("want") / t))).cast("int")
     open_ = report.withColumn("full", full).withColumn("left", F.when((F.col("full") < repeats) & (t > 0), F.col("want") - F.col("full") * t).otherwise(0.0))
     state = open_.select("source", "full", "left", F.lit(0).cast("long").alias("prefix"))
     for level in range(HASH_BITS // BITS):
@@ -84,16 +84,18 @@ def thresholds(sizes: DataFrame, report: DataFrame, small: bool) -> DataFrame:
 
 def mix(sizes: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, report). documents: (doc_id, source, n_tokens, copies) of each document taken at
-    least once. report: source_report with mixed_tokens and actual_share of the mixture.
+    least once. report: budgets() with mixed_tokens, actual_share of the mixture and short: whether
+    the source stays below its budget although the mixture takes all its max_repeats passes.
 
     Two filters and no sort over the documents: copies = full passes + (h < below).
     """
-    report = source_report(sizes, weights)
+    report = written(budgets(sizes, weights), "budgets")
     small = _few(weights)
     cut = thresholds(sizes, report, small)
     copies = F.col("full") + (F.col("h") < F.col("below")).cast("int")
     taken = sizes.join(_small(cut, small), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
     mixed = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    full = report.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    full = report.join(cut.select("source", "full"), "source").join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    full = full.withColumn("short", (F.col("full") == F.col("max_repeats")) & (F.col("mixed_tokens") < F.col("want"))).drop("full")
     whole = mixed.agg(F.sum("mixed_tokens").alias("mixture_tokens"))
     return taken, full.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.col("mixed_tokens") / F.col("mixture_tokens")).drop("mixture_tokens")

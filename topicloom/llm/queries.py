@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicloom.llm._common import table
 from topicloom.llm.bpe import decode, encode
 from topicloom.llm.cooccurrence import baskets, cooccurrence
-from topicloom.llm.mixing import mix, sized, source_report
+from topicloom.llm.mixing import mix, sized
 from topicloom.llm.near_duplicates import NearDuplicates
 from topicloom.llm.neighbours import neighbours
 from topicloom.llm.reading_level import band, fit_on, reading_level
@@ -67,7 +67,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "mixweights")
-    return source_report(sized(table(spark, d, "documents"), weights), weights).where("short").select("source")
+    return mix(sized(table(spark, d, "documents"), weights), weights)[1].where("short").select("source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
