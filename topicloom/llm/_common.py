@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.sources.tables import table, written
+from topicloom.functions.packed import batches_of, parted, parts_for
+from topicloom.sources.tables import spread, table, written
 
-__all__ = ["one_delivery", "table", "word_list", "written"]
+__all__ = ["batches_of", "one_delivery", "parted", "parts_for", "small", "spread", "table", "word_list", "written"]
+
+#: Ids that come more than once are broadcast up to so many (8 bytes each); beyond, all rows are
+#: grouped by id.
+REPEATED = 1_000_000
+
+
+def small(df: DataFrame, limit: int = REPEATED) -> DataFrame:
+    """A written table of few columns, broadcast if it has at most limit rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def word_list(words: Column) -> Column:
@@ -16,12 +26,27 @@ def word_list(words: Column) -> Column:
     return F.filter(plain, lambda w: w.isNotNull() & (w != ""))
 
 
-def one_delivery(docs: DataFrame, id_col: str, payload: Column, order_col: str | None) -> DataFrame:
+def one_delivery(docs: DataFrame, id_col: str, payload: Column, order_col: str | None, *, repeated: int = REPEATED) -> DataFrame:
     """(id_col, payload): one row per id, the earliest by order_col (ties: the smaller payload).
 
-    Rows without id take no part. Equal ids are merged on the map side first, so an id that holds
-    a third of all rows moves one row per map task. Each partition of the result is in id order.
+    Rows without id take no part. Only ids are counted over the whole table; rows whose id comes once
+    stay where they are, whole and unshuffled, and those of repeated ids are grouped, equal ids merged
+    on the map side first, so an id that holds a third of all rows moves one row per map task.
     """
     order = F.col(order_col) if order_col else F.lit(0)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.struct(order.alias("o"), payload.alias("p")).alias("_s"))
-    return rows.groupBy(id_col).agg(F.min("_s").alias("_s")).select(id_col, F.col("_s.p").alias("payload"))
+    named = docs.where(F.col(id_col).isNotNull())
+    again = written(named.groupBy(id_col).agg(F.count("*").alias("_times")).where("_times > 1").select(id_col), "again")
+    n = again.count()
+    named = spread(docs).where(F.col(id_col).isNotNull())
+
+    def first(rows: DataFrame) -> DataFrame:
+        each = rows.select(F.col(id_col), F.struct(order.alias("o"), payload.alias("p")).alias("_s"))
+        return each.groupBy(id_col).agg(F.min("_s").alias("_s")).select(id_col, F.col("_s.p").alias("payload"))
+
+    if n > repeated:
+        return first(named)
+    plain = lambda rows: rows.select(F.col(id_col), payload.alias("payload"))
+    if not n:
+        return plain(named)
+    few = F.broadcast(again)
+    return plain(named.join(few, id_col, "left_anti")).unionByName(first(named.join(few, id_col, "left_semi")))
