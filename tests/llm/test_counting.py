@@ -99,6 +99,42 @@ def test_pairs_equal_brute_force(spark, small, monkeypatch):
     assert found.surprising and found.log10_p < -6 and found.expected < 3
 
 
+def test_surprise_equals_the_fitted_null(spark):
+    """expected, log10_p and surprising of each pair, from the null's chances record by record."""
+    rng = np.random.default_rng(8)
+    docs = [sorted({f"w{min(int(rng.exponential(9)), 30)}" for _ in range(rng.integers(2, 20))} | ({"x", "y"} if i % 12 == 0 else set())) for i in range(240)]
+    got = co.cooccurrence(co.baskets(delivered(spark, [(i, w, 1) for i, w in enumerate(docs)]), "document", "doc_id", "words", "added_at"), least={"document": 4}, min_npmi=0.0).collect()
+    freq, sizes = Counter(w for d in docs for w in d), np.array([len(d) for d in docs])
+    words, f = zip(*sorted(freq.items()))
+    x, y = np.array(f) / np.sqrt(sizes.sum()), sizes / np.sqrt(sizes.sum())
+    for _ in range(2000):  # every word and record on its own, no classes
+        x, y = np.array(f) / (y / (1 + np.outer(x, y))).sum(1), sizes / (x[:, None] / (1 + np.outer(x, y))).sum(0)
+    p = {w: r for w, r in zip(words, np.outer(x, y) / (1 + np.outer(x, y)))}
+    tails = {}
+    for r in got:
+        q, dist = p[r.word_a] * p[r.word_b], np.array([1.0])
+        for c in q:
+            dist = np.convolve(dist, [1 - c, c])
+        assert abs(r.expected - q.sum()) < 0.01 * q.sum() + 1e-6
+        tails[(r.word_a, r.word_b)] = math.log10(max(dist[r.n_ab :].sum(), 1e-300))
+        assert abs(r.log10_p - tails[(r.word_a, r.word_b)]) < 0.1 + 0.05 * abs(r.log10_p)
+    tests, ranked = len(words) * (len(words) - 1) / 2, sorted(r.log10_p for r in got)
+    cut = max((t for i, t in enumerate(ranked) if t <= math.log10(0.05 * (i + 1) / tests)), default=-math.inf)
+    for r in got:
+        assert r.surprising == (r.log10_p <= cut) or abs(r.log10_p - cut) < 0.02
+    assert any(r.surprising for r in got) and not all(r.surprising for r in got)
+
+
+def test_one_delivery_with_and_without_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from topicloom.llm._common import one_delivery
+
+    rows = delivered(spark, AWKWARD)
+    few, many = ({(r.doc_id, tuple(r.payload) if r.payload is not None else None) for r in one_delivery(rows, "doc_id", F.col("words"), "added_at", repeated=n).collect()} for n in (1_000_000, 0))
+    assert few == many and len(few) == len({i for i, _, _ in AWKWARD if i is not None})
+
+
 def test_no_pairs(spark):
     empty = co.baskets(delivered(spark, [(1, None, 1)]), "document", "doc_id", "words", None)
     assert co.cooccurrence(empty, least={"document": 1}, min_npmi=0.5).count() == 0

@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm._common import one_delivery, word_list, written
+from topicloom.functions.hashing import mix
+from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, word_list, written
 
 #: Items are broadcast up to so many rows (about 100 bytes each); beyond, they are joined by shuffle.
 SMALL_ITEMS = 1_000_000
 #: A basket of more items is cut into blocks of first items, which different tasks pair.
 BLOCK = 2048
-#: Pairs counted in memory before they are handed on.
-HELD_PAIRS = 2_000_000
+#: Pairs counted in memory before they are handed on, and distinct pairs of a part, about.
+HELD_PAIRS, PART_PAIRS = 4_000_000, 3_000_000
 #: Item frequencies and basket sizes above this share classes 1 % wide in the null model.
 EXACT_CLASSES = 4096
 
@@ -72,24 +73,40 @@ def _pairs(rows: pa.Table, most: np.ndarray, power: float) -> Iterator[np.ndarra
         a = b
 
 
-def _counted(most: list[float], power: float):
-    """mapInArrow function: (basket, kind, block, code, n), each basket in one run of rows -> pair counts."""
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, rising; the sum of each one's counts)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    return keys[first], (np.diff(np.r_[first, len(keys)]) if counts is None else np.add.reduceat(counts, first) if len(first) else counts).astype(np.int32 if counts is None else np.int64)
+
+
+def _counted(most: list[float], power: float, parts: int):
+    """mapInArrow function: (basket, kind, block, code, n), each basket in one run of rows -> packed
+    pair counts (part, pairs, counts)."""
     bounds = np.array(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        open_: list[pa.RecordBatch] = []
+        open_: list[pa.RecordBatch] = []  # the last basket may go on in the next batch
+        size = 0
 
         def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            keys, counts = _summed(np.concatenate(held) if held else np.zeros(0, np.int64))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n_ab"])
+            return parted(mix(keys.view(np.uint64)), parts, {"pairs": keys, "counts": counts})
 
         def add(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal size
             for keys in _pairs(rows, bounds, power):
                 held.append(keys)
-                if sum(map(len, held)) > HELD_PAIRS:
+                size += len(keys)
+                if size > HELD_PAIRS:
                     yield out()
+                    size = 0
 
         for batch in batches:
             if not batch.num_rows:
@@ -110,6 +127,20 @@ def _counted(most: list[float], power: float):
     return run
 
 
+def _merged(least: int):
+    """mapInArrow function: the packed pair counts of a part -> (pair, n_ab) of pairs in at least
+    `least` records. Counts are summed as they come: no more than the part's different pairs are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for k, c in batches_of(batches, [np.int64, np.int32], PART_PAIRS):
+            keys, counts = _summed(np.r_[keys, k], np.r_[counts, c])
+        enough = counts >= least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[enough]), pa.array(counts[enough])], ["pair", "n_ab"])
+
+    return run
+
+
 def degree_class(n: Column) -> Column:
     """n itself up to EXACT_CLASSES; above, the number of a class 1 % wide."""
     return F.when(n <= EXACT_CLASSES, n).otherwise(EXACT_CLASSES + F.floor(F.log(n / F.lit(EXACT_CLASSES)) / math.log(1.01)) + 1).cast("long")
@@ -180,8 +211,8 @@ def cooccurrence(records: DataFrame, *, least: dict[str, int], min_npmi: float,
 
     Counts are exact. Items in fewer than least records, and pairs whose frequencies alone rule
     min_npmi out (n_ab can't pass the smaller one, so the larger one is at most
-    n**(1-t) * n_a**t), are never paired. Pairs are summed within a task before the shuffle; a
-    record of more than BLOCK items is cut into blocks that several tasks pair.
+    n**(1-t) * n_a**t), are never paired. Pairs are summed within a task, shuffled as packed arrays,
+    and summed again; a record of more than BLOCK items is cut into blocks that several tasks pair.
 
     expected and log10_p: mean and upper tail of n_ab under the bipartite configuration null, fitted
     to all item frequencies and record sizes of the kind. surprising: rejected by Benjamini and
@@ -214,7 +245,12 @@ def cooccurrence(records: DataFrame, *, least: dict[str, int], min_npmi: float,
     if not small:  # the join has scattered the baskets
         tokens = tokens.repartition("basket").sortWithinPartitions("basket")
     most = [float(max(n[k], 1)) ** (1 - min_npmi) for k in kinds]
-    pairs = tokens.mapInArrow(_counted(most, min_npmi), "pair long, n_ab long").groupBy("pair").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= min(least.values()))
+    held = {k: float((degrees[k]["n"] * degrees[k]["m"]).sum()) for k in kinds if n[k]}  # items in records
+    part_of = {k: float((degrees[k]["n"] * degrees[k]["m"])[degrees[k]["n"] >= least[k]].sum()) / max(held[k], 1) for k in held}
+    expected = sum(part_of[k] ** 2 * float((sizes[k]["n"] ** 2 * sizes[k]["m"]).sum()) / 2 for k in held)  # pairs, about
+    parts = parts_for(int(expected), PART_PAIRS, records.sparkSession.sparkContext.defaultParallelism)
+    packed = tokens.mapInArrow(_counted(most, min_npmi, parts), "part int, pairs binary, counts binary")
+    pairs = packed.repartitionById(parts, F.col("part")).mapInArrow(_merged(min(least.values())), "pair long, n_ab long")
 
     def side(x: str) -> DataFrame:
         return hinted(items.select(F.col("code").alias(f"code_{x}"), F.col("kind").alias(f"kind_{x}"), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"f_{x}")))
