@@ -74,7 +74,7 @@ def test_bands_and_sketch_keep_the_miss_rate():
     for least in (0.3, 0.5, 0.7, 0.8, 0.95, 1.0):
         bands, rows = nd.band_shape(least)
         assert 1 <= bands <= nd.MAX_BANDS and (1 - least**rows) ** bands <= nd.MISS
-    assert nd.band_shape(0.7) == (59, 5) and 28.8 + 4 * 4.95 < nd.sketch_limit(0.7) < 28.8 + 6 * 4.95
+    assert nd.band_shape(0.7) == (59, 5) and 19.2 + 4 * 4.04 < nd.sketch_limit(0.7) < 19.2 + 6 * 4.04
 
 
 def test_many_copies_come_as_a_star(spark, monkeypatch):
@@ -129,15 +129,30 @@ def test_similar_vectors_equal_brute_force(spark):
     assert all(r.id_a != r.id_b for r in got) and max(r.rank_no for r in got) <= 5
 
 
-def test_blocks_of_a_large_file_give_the_same(spark, monkeypatch):
+def test_splitting_large_files_keeps_recall(spark, monkeypatch):
     from topicloom.llm import neighbours as nb
 
     rng = np.random.default_rng(4)
-    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(rng.random((120, 4)).astype(np.float32))]
-    one = {tuple(r) for r in neighbours(vectors(spark, rows), dims=4, k=3, max_pivots=2).select("id_a", "id_b").collect()}
-    monkeypatch.setattr(nb, "BLOCK", 25)
-    many = {tuple(r) for r in neighbours(vectors(spark, rows), dims=4, k=3, max_pivots=2).select("id_a", "id_b").collect()}
-    assert len(one & many) > 0.9 * len(one | many)
+    x = np.concatenate([rng.random((60, 4)), np.array([1.0, 0.2, 0.3, 0.4]) + rng.random((240, 4)) * 0.3]).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    f = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = f @ f.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(len(f)) for j in np.argsort(-cos[i], kind="stable")[:3]}
+    for block in (4096, 40, 10):  # whole files, files of pairs of pivots, blocks of those
+        monkeypatch.setattr(nb, "BLOCK", block)
+        got = {tuple(r) for r in neighbours(vectors(spark, rows), dims=4, k=3, max_pivots=12).select("id_a", "id_b").collect()}
+        assert len(got & want) > 0.95 * len(want), block
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [0.5, 0.25, 0.75], 1) for i in range(60)] + [(100 + i, [float(c) for c in v], 1) for i, v in enumerate(rng.random((40, 3)).astype(np.float32))]
+    got = neighbours(vectors(spark, rows), dims=3, k=2, least=0.2).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.id_a, []).append((r.rank_no, r.id_b))
+    assert len(of) == 100 and sorted(of[59]) == sorted(of[2]) == [(1, 0), (2, 1)] and sorted(of[0]) == [(1, 1), (2, 2)] and sorted(of[1]) == [(1, 0), (2, 2)]
 
 
 def test_equal_vectors_and_none(spark):
