@@ -10,15 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import one_delivery, written
+from topicloom.llm._common import one_delivery, small, written
 
 #: A vector is represented by its so many nearest pivots in order, and posted in the files of the
 #: first POSTED of them.
 PREFIX, POSTED = 8, 3
+#: In a file of more than BLOCK postings, each goes on to the files of that pivot with the nearest
+#: SPLIT of the others.
+BLOCK, SPLIT = 4096, 4
 #: At most so many pivots; 2 * sqrt(vectors) below.
 MAX_PIVOTS = 65_535
-#: A pivot's file is read in blocks of about so many postings.
-BLOCK = 4096
 #: Candidates with the least footrule distance that are reranked, for each vector and file; more if
 #: they tie.
 RERANKED = 32
@@ -40,9 +41,13 @@ def _directions(v: pa.ListArray, dims: int) -> np.ndarray:
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """[n, PREFIX]: pivots by falling cosine, equal ones by number."""
     m = min(PREFIX, len(pivots))
-    s = x @ pivots.T
-    part = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1) if m < len(pivots) else np.broadcast_to(np.arange(m), (len(x), m))
-    return np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1).astype(np.uint16)
+    out = np.zeros((len(x), m), np.uint16)
+    step = max(1, 2_000_000 // len(pivots))  # bounds what is held at a time
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ pivots.T
+        part = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1) if m < len(pivots) else np.broadcast_to(np.arange(m), (len(s), m))
+        out[a : a + step] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def footrule(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -61,7 +66,8 @@ def footrule(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def _rows(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False)
+    ids, first = np.unique(table.column("id").combine_chunks().to_numpy(zero_copy_only=False), return_index=True)
+    table = table.take(pa.array(first))
     half = np.frombuffer(b"".join(table.column("half").to_pylist()), np.float16).reshape(len(ids), dims).astype(np.float32)
     prefix = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.uint16).reshape(len(ids), -1)
     return ids, half, prefix, table.column("part").to_numpy()
@@ -103,6 +109,28 @@ def _best(dims: int, k: int, least: float):
     return run
 
 
+def _sizes(postings: DataFrame, label: str) -> DataFrame:
+    """(cell, blocks) of the files of more than a block: at most postings / BLOCK of them."""
+    large = postings.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    return written(large.select("cell", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), label)
+
+
+def _postings(indexed: DataFrame) -> DataFrame:
+    """(id, half, prefix, cell, blocks) of each posting. The file of a pivot with more than a block is
+    split by the second pivot; of a file that is still larger, blocks says in how many blocks it is
+    searched. A vector may come twice to the file of two pivots that are both split."""
+    posted = indexed.select("id", "half", "prefix", "pivots", F.explode(F.slice("pivots", 1, POSTED)).alias("cell")).withColumn("cell", F.col("cell").cast("long"))
+    large = _sizes(posted, "files")
+    if not large.limit(1).count():
+        return posted.select("id", "half", "prefix", "cell", F.lit(1).alias("blocks"))
+    other = F.slice(F.filter("pivots", lambda p: p != F.col("cell")), 1, SPLIT)
+    both = F.transform(other, lambda p: (F.least(p, F.col("cell")) + 1) * (1 << 20) + F.greatest(p, F.col("cell")))
+    marked = posted.join(small(large.select("cell", F.lit(True).alias("hot"))), "cell", "left")
+    split = marked.select("id", "half", "prefix", F.explode(F.when(F.col("hot"), both).otherwise(F.array("cell"))).alias("cell"))
+    still = _sizes(split.where(F.col("cell") >= 1 << 20), "still")
+    return split.join(small(still), "cell", "left").select("id", "half", "prefix", "cell", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+
 def neighbours(rows: DataFrame, *, dims: int, k: int = 5, least: float = -1.0, id_col: str = "doc_id", vector_col: str = "topic_dist", order_col: str | None = "inferred_at", max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(id_a, id_b, rank_no, cosine): the k vectors most similar to each, those with a cosine of at
     least `least`; equal cosines by rising id. A vector is no neighbour of itself.
@@ -115,37 +143,43 @@ def neighbours(rows: DataFrame, *, dims: int, k: int = 5, least: float = -1.0, i
     sample, max_pivots at most). Each vector is represented by its PREFIX nearest pivots in order and
     posted in the inverted files of the first POSTED. Within a file, the RERANKED vectors with the
     least footrule distance between the prefixes are compared with half-precision cosines; what can
-    be among the k best is reranked exactly. A file of more than BLOCK postings is cut into blocks,
-    and each pair of blocks is a task's work of its own. Every vector is indexed and searched for.
+    be among the k best is reranked exactly. A file of more than BLOCK postings is split by the
+    second pivot, so that a popular pivot costs SPLIT postings a vector, however large its file; what
+    is still larger is searched by pairs of blocks, each a task's work of its own.
+
+    Every vector is indexed and searched for. Of equal vectors the k + 1 with the least ids stand in
+    the index: no more can be among anyone's k best; the rest have the k first of those.
     """
     spark = rows.sparkSession
     v = F.col(vector_col)
     fit = rows.where(F.col(id_col).isNotNull() & valid_vector(v, dims))
-    n = fit.count()
+    one = one_delivery(fit, id_col, v.cast("array<float>"), order_col).select(F.col(id_col).alias("id"), F.col("payload").alias("v"))
+    n = one.count()
     wanted = max(1, min(max_pivots, n, math.ceil(2 * math.sqrt(n))))
-    lowest = fit.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), v.alias("v")).orderBy("h", "i").limit(2 * wanted).dropDuplicates(["i"]).orderBy("h", "i").limit(wanted)
-    sample = lowest.select("v").toArrow().column("v").combine_chunks() if n else None
+    sample = one.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(wanted).select("v").toArrow().column("v").combine_chunks() if n else None
     pivots = spark.sparkContext.broadcast(_directions(sample, dims) if n else np.ones((1, dims), np.float32))
     id_type = dict(rows.dtypes)[id_col]
 
+    copies = one.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    shared = copies.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+    shared = written(shared, "shared")
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    ranked = written(copies.join(small(shared), ["h1", "h2"], "left_semi").withColumn("place", place), "copies")
+    late = ranked.where(F.col("place") > k + 1)
+    held = one.join(small(late.select("id")), "id", "left_anti") if late.limit(1).count() else one
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 x = _directions(part.column(1), dims)
                 prefix = nearest_pivots(x, pivots.value)
-                cells = prefix[:, :POSTED]
-                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
                 half = x.astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in half], pa.binary()), pa.array([r.tobytes() for r in prefix], pa.binary()), lists], ["id", "v", "half", "prefix", "cells"])
+                every = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * prefix.shape[1], pa.array(prefix.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in half], pa.binary()), pa.array([r.tobytes() for r in prefix], pa.binary()), every], ["id", "v", "half", "prefix", "pivots"])
 
-    one = one_delivery(fit, id_col, v.cast("array<float>"), order_col).select(F.col(id_col).alias("id"), F.col("payload").alias("v"))
-    indexed = written(one.mapInArrow(index, f"id {id_type}, v array<float>, half binary, prefix binary, cells array<int>"), "index")
-    posted = indexed.select("id", "half", "prefix", F.explode("cells").alias("cell"))
-    # files of more than a block: at most POSTED * n / BLOCK of them, and no more than pivots
-    large = {r["cell"]: -(-r["c"] // BLOCK) for r in indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).toLocalIterator()}
-    blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1)) if large else F.lit(1)
-    placed = posted.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    indexed = written(held.mapInArrow(index, f"id {id_type}, v array<float>, half binary, prefix binary, pivots array<int>"), "index")
+    placed = _postings(indexed).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("id", "half", "prefix", "cell", "part", other)
     placed = placed.select("id", "half", "prefix", "part", "cell", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
@@ -157,4 +191,7 @@ def neighbours(rows: DataFrame, *, dims: int, k: int = 5, least: float = -1.0, i
     cosine = dot(F.col("va"), F.col("vb")) / (F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb"))))
     exact = pair.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return exact.withColumn("rank_no", rank).where(F.col("rank_no") <= k).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "rank_no", "cosine")
+    best = exact.withColumn("rank_no", rank).where(F.col("rank_no") <= k).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "rank_no", "cosine")
+    first = ranked.where(F.col("place") <= k).select("h1", "h2", F.col("id").alias("id_b"), F.col("place").alias("rank_no"))
+    rest = late.select("h1", "h2", F.col("id").alias("id_a")).join(first, ["h1", "h2"]).select("id_a", "id_b", "rank_no", F.lit(1.0).alias("cosine"))
+    return best.unionByName(rest.where(F.col("cosine") >= least))
