@@ -9,7 +9,7 @@ from topicloom.llm._common import written
 from topicloom.llm.bpe import DEFAULT_VOCABULARY, count_tokens
 
 #: Bits of the document hash that one histogram resolves.
-BITS = 12
+BITS = 20
 HASH_BITS = 60
 
 

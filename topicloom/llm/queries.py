@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import table
+from topicloom.llm._common import spread, table
 from topicloom.llm.bpe import decode, encode
 from topicloom.llm.cooccurrence import baskets, cooccurrence
 from topicloom.llm.mixing import mix, sized
@@ -18,6 +18,10 @@ from topicloom.llm.term_frequency import term_frequency
 from topicloom.llm.top_n import top_n
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency(table(spark, d, "tmdocs")).where("mark is not null").select("word", "mark")
 
@@ -58,30 +62,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode(table(spark, d, "documents"))
+    return encode(_documents(spark, d))
 
 
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return decode(encode(table(spark, d, "documents")))
+    return decode(encode(_documents(spark, d)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "mixweights")
-    return mix(sized(table(spark, d, "documents"), weights), weights)[1].where("short").select("source")
+    return mix(sized(_documents(spark, d), weights), weights)[1].where("short").select("source")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "mixweights")
-    return mix(sized(table(spark, d, "documents"), weights), weights)[1]
+    return mix(sized(_documents(spark, d), weights), weights)[1]
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     weights = table(spark, d, "mixweights")
-    return mix(sized(table(spark, d, "documents"), weights), weights)[0]
+    return mix(sized(_documents(spark, d), weights), weights)[0]
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     return reading_level(docs, fit_on(docs)).withColumn("band", band(F.col("grade")))
 
 
