@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.hashing import mix
-from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, word_list, written
+from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, small, word_list, written
 
 #: A pair at the threshold shares no band with this probability at most; as many bands as that takes, up to MAX_BANDS.
 MISS, MAX_BANDS = 2e-5, 64
@@ -328,12 +328,14 @@ class NearDuplicates:
         one = one_delivery(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, _sorted_words(F.col(words_col)), order_col)
         sets = one.where(F.size("payload") >= max(min_words, 1)).select(F.col(id_col).alias("id"), F.col("payload").alias("words"), F.xxhash64("payload").alias("h1"), F.xxhash64(F.lit(1), "payload").alias("h2"))
         self.sets = written(sets, "sets")
-        classes = self.sets.groupBy("h1", "h2").agg(F.min(F.struct("id", "words")).alias("one"), F.count("*").alias("copies"))
-        self.classes = written(classes.select("h1", "h2", F.col("one.id").alias("id"), F.col("one.words").alias("words"), "copies"), "classes")
-        #: id -> rep, for classes of more than one record
-        shared = self.classes.where("copies > 1").select("h1", "h2", F.col("id").alias("rep"), "copies")
-        self.members = self.sets.select("id", "h1", "h2").join(shared, ["h1", "h2"]).select("id", "rep", "copies")
-        self.links = written(self._checked(self._candidates()), "links")
+        shared = self.sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+        #: (h1, h2, rep, copies) of classes of more than one record; the smallest id stands for all.
+        self.shared = written(shared, "shared")
+        self.members = written(self.sets.select("id", "h1", "h2").join(small(self.shared), ["h1", "h2"]).select("id", "rep", "copies"), "members")
+        others = self.members.where("id <> rep").select("id")
+        #: (id, words, h1, h2) of one record of each class
+        self.classes = self.sets.join(small(others), "id", "left_anti")
+        self.links = written(self._checked(written(self._candidates(), "candidates")), "links")
 
     def _hot(self) -> np.ndarray:
         """The keys of the hot bands, sorted; of more than MAX_HOT the largest."""
@@ -356,11 +358,13 @@ class NearDuplicates:
         return packed.repartitionById(parts, F.col("part")).mapInArrow(_met(self.least), "a long, b long").distinct()
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        a = self.classes.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("copies").alias("ca"))
-        b = self.classes.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("copies").alias("cb"))
+        """(a, b, jaccard) of the pairs that are similar. Only word lists of candidates are moved."""
+        ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+        asked = self.classes.select("id", "words").join(small(ends), "id", "left_semi")
+        a, b = (asked.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
         both = F.size(F.array_intersect("wa", "wb"))
         jaccard = both / (F.size("wa") + F.size("wb") - both)
-        return pairs.join(a, "a").join(b, "b").withColumn("jaccard", jaccard).where(F.col("jaccard") >= self.least - 1e-12).select("a", "b", "ca", "cb", "jaccard")
+        return pairs.join(a, "a").join(b, "b").withColumn("jaccard", jaccard).where(F.col("jaccard") >= self.least - 1e-12).select("a", "b", "jaccard")
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), the smaller id first: every pair of similar records. Of a class of
@@ -378,11 +382,13 @@ class NearDuplicates:
         """(doc_id, class_id, n_links): each record that takes part with the smallest id it is
         connected to through similar records, and the number of other records similar to it."""
         label = components(self.links.select("a", "b"))
-        ends = self.links.select(F.col("a").alias("rep"), F.col("cb").alias("c")).unionByName(self.links.select(F.col("b").alias("rep"), F.col("ca").alias("c")))
-        linked = ends.groupBy("rep").agg(F.sum("c").alias("linked"))
-        of_class = self.classes.select("h1", "h2", F.col("id").alias("rep"), "copies").join(label, F.col("rep") == label["node"], "left").join(linked, "rep", "left")
-        of_class = of_class.select("h1", "h2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        return self.sets.select("id", "h1", "h2").join(of_class, ["h1", "h2"]).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+        ends = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        times = self.shared.select("rep", "copies")
+        linked = ends.join(small(times.withColumnRenamed("rep", "b")), "b", "left").groupBy(F.col("a").alias("id")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("linked"))
+        every = self.sets.select("id").join(small(self.members), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        of_rep = label.join(linked, label["node"] == linked["id"]).select(F.col("node").alias("rep"), "label", "linked")
+        every = every.join(of_rep, "rep", "left")
+        return every.select(F.col("id").alias("doc_id"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
 def components(links: DataFrame) -> DataFrame:
