@@ -144,7 +144,7 @@ def test_callback_and_summary(spark, docs):
     seen = []
     m = models.LDA(2).add(docs)
     m.train(4, callback=lambda model, i, n: seen.append((i, n)), callback_interval=2)
-    assert seen == [(2, 4), (4, 4)] and "#1 (" in m.summary()
+    assert seen == [(2, 4), (4, 4)] and "topic 1 [" in m.summary()
 
 
 def test_streaming_inference(spark, docs, tmp_path):

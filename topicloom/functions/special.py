@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 from pyspark.sql import Column
@@ -74,9 +74,11 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(y) - 0.5 / y - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i / 240)))
 
 
-def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, *, steps: int = 10, memory: int = 8) -> np.ndarray:
-    """Minimise f, which gives value and gradient, with limited-memory BFGS and backtracking."""
-    value, g = f(x)
+def lbfgs_steps(x: np.ndarray, *, steps: int = 10, memory: int = 8) -> Generator[np.ndarray, tuple[float, np.ndarray], tuple[float, np.ndarray]]:
+    """Limited-memory BFGS with backtracking as a coroutine: yields points to evaluate, is sent value
+    and gradient, and returns the least value and its point. So the points that several minimisations
+    ask for can be evaluated in one pass over the data."""
+    value, g = yield x
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         q, saved = g.copy(), []
@@ -94,12 +96,12 @@ def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, *,
         size, slope = 1.0, g @ q
         for _ in range(12):
             new = x - size * q
-            new_value, new_g = f(new)
+            new_value, new_g = yield new
             if np.isfinite(new_value) and new_value <= value - 1e-4 * size * slope:
                 break
             size /= 2
         else:
-            return x
+            return value, x
         s, y = new - x, new_g - g
         if s @ y > 1e-12:
             pairs = [*pairs, (s, y)][-memory:]
@@ -107,4 +109,21 @@ def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, *,
         x, value, g = new, new_value, new_g
         if done:
             break
-    return x
+    return value, x
+
+
+def lbfgs(f: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], starts: list[np.ndarray], *, steps: int = 10) -> np.ndarray:
+    """The best minimum of f found from any of the starts; f gives values and gradients of several
+    points at once, of all starts that go on."""
+    running = {i: lbfgs_steps(x, steps=steps) for i, x in enumerate(starts)}
+    asked = {i: next(r) for i, r in running.items()}
+    ended: list[tuple[float, np.ndarray]] = []
+    while asked:
+        got = dict(zip(asked, f(list(asked.values()))))
+        asked = {}
+        for i, answer in got.items():
+            try:
+                asked[i] = running[i].send(answer)
+            except StopIteration as e:
+                ended.append(e.value)
+    return min(ended, key=lambda e: e[0] if np.isfinite(e[0]) else np.inf)[1]

@@ -14,11 +14,15 @@ operators.readout.jacobi_sweep, which joins instead).
 from __future__ import annotations
 
 import inspect
+import io
 import json
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,10 @@ from topicloom.operators import corpus
 from topicloom.sources.tables import dropped, written
 
 MAX_STATE_BYTES = 4 << 30
+#: Used words are broadcast too, to encode documents inside their rows: at most so many.
+MAX_WORDS = 5_000_000
+#: saves(full=True) takes the documents through the driver: at most so many tokens.
+MAX_SAVED_TOKENS = 50_000_000
 #: Padded tokens of a block of documents that move in step.
 BLOCK_TOKENS = 400_000
 #: A sweep has at least a task for so many tokens, and one for each core.
@@ -139,18 +147,32 @@ class LDA:
 
     # --- documents ----------------------------------------------------------------------------------
 
-    def add(self, docs: DataFrame) -> LDA:
-        """Add documents; before training only. More than one call adds corpora one behind the other."""
+    def add(self, docs: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None) -> LDA:
+        """Add documents; before training only. More than one call adds corpora one behind the other.
+        transform turns the columns documents come with into those the model needs."""
         if self.n is not None:
             raise RuntimeError("documents can't be added after training")
-        missing = [c for c in ("doc_id", "words", *self.needs) if c not in docs.columns]
-        if missing:
-            raise ValueError(f"missing columns {missing}")
-        own = docs.select("doc_id", "words", *self.needs)
+        own = self._needed(transform(docs) if transform else docs)
         self.spark = docs.sparkSession
         self.docs = own if self.docs is None else corpus.concat_corpora(self.docs, own)
         return self
 
+    def add_doc(self, words: list[str], **values) -> LDA:
+        """Add one document, given as a list of words and the values of the model's columns."""
+        if isinstance(words, str):
+            raise ValueError("words must be a list of strings")
+        if not self.spark:
+            self.spark = SparkSession.getActiveSession()
+        kinds = {"metadata": "string", "multi_metadata": "array<string>", "numeric_metadata": "array<double>", "labels": "array<string>", "y": "array<double>", "timepoint": "int"}
+        spec = ", ".join(["doc_id long", "words array<string>", *(f"{c} {kinds[c]}" for c in values)])
+        return self.add(self.spark.createDataFrame([(0, list(words), *values.values())], spec))
+
+    def _needed(self, docs: DataFrame) -> DataFrame:
+        missing = [c for c in ("doc_id", "words", *self.needs) if c not in docs.columns]
+        if missing:
+            raise ValueError(f"missing columns {missing}")
+        return docs.select("doc_id", "words", *self.needs)
+
     def set_word_prior(self, word: str, prior: list[float] | dict[int, float]) -> None:
         """Prior weights of a word by topic; topics a dict doesn't name keep eta."""
         if not self.supports_word_prior:
@@ -170,20 +192,38 @@ class LDA:
         """Topics that have words: rows of the topic-word counts."""
         return self.k
 
-    def _pack(self, docs: DataFrame, tokens: DataFrame, weighted: DataFrame) -> DataFrame:
-        packed = weighted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid", F.col("w").cast("float").alias("w"), *(["sent"] if "sent" in weighted.columns else [])))).alias("t"))
-        rest = docs.select("doc_id", *self.features(docs))
-        part = lambda c: F.transform("t", lambda x: x[c]).alias(c)
-        empty = lambda t, c: F.lit(None).cast(t).alias(c)
-        sent = part("sent") if "sent" in weighted.columns else empty("array<int>", "sent")
-        return packed.join(rest, "doc_id").select("doc_id", part("wid"), part("w"), sent, "x", empty("array<int>", "z"), empty("array<double>", "nd"), empty("array<double>", "s"), empty("array<int>", "p"))
+    #: The word that ends a sentence, for models with sentences.
+    delimiter: str | None = None
+
+    def _pack(self, docs: DataFrame, given: pa.Array | None = None) -> DataFrame:
+        """Rows of docs, encoded inside the row with the broadcast vocabulary: documents without used
+        words have none. given: a weight for each word, instead of the term weights of training."""
+        used = self.vocab.where("used").select("wid", "word", "cf", "df").orderBy("wid").toArrow()  # bounded by _fits
+        shared = self.spark.sparkContext.broadcast({"words": used.column("word").combine_chunks().cast(pa.string()), "cf": used.column("cf").to_numpy(), "df": used.column("df").to_numpy(), "given": given})
+        total = self.vocab.agg(F.sum("cf")).first()[0] or 1 if self.tw == "pmi" and given is None else 1
+        full = self._with_words(docs, shared) if self.tw == "idf" and given is None else 1
+        columns = docs.select("doc_id", "words", *self.features(docs))
+        return columns.mapInArrow(encoder(shared, self.tw if given is None else "given", self.delimiter, total, full), ROW)
+
+    @staticmethod
+    def _with_words(docs: DataFrame, shared) -> int:
+        """Documents with any used word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = corpus.Rows(batch.column(0))
+                known = pc.is_in(rows.values, value_set=shared.value["words"]).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(rows.row[known]))], pa.int64())], ["n"])
+
+        return docs.select("words").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 1
 
     def features(self, docs: DataFrame) -> list[Column]:
         """x array<double>: what the model knows of a document besides its words."""
         return [F.lit(None).cast("array<double>").alias("x")]
 
-    def tokens(self, docs: DataFrame) -> DataFrame:
-        return corpus.word_tokens(docs)
+    def countable(self, docs: DataFrame) -> DataFrame:
+        """docs with the words that count for the vocabulary."""
+        return docs.select("doc_id", "words")
 
     def learn(self, docs: DataFrame) -> None:
         """What must be known of all documents before features() are made."""
@@ -192,15 +232,13 @@ class LDA:
         """Prune, weigh, pack and draw first topics: the first train() does it."""
         if self.docs is None:
             raise RuntimeError("add documents before training")
-        tokens = self.tokens(self.docs)
-        self.vocab = corpus.vocabulary(tokens, min_cf=self.min_cf, min_df=self.min_df, rm_top=self.rm_top)
+        self.vocab = corpus.vocabulary(self.countable(self.docs), min_cf=self.min_cf, min_df=self.min_df, rm_top=self.rm_top)
         self.v = self.vocab.where("used").count()
         self._fits()
-        weighted = corpus.weighted(corpus.encode(tokens, self.vocab), self.tw, self.vocab, tokens)
         self.learn(self.docs)
         words = self.vocab.where("used").agg(F.sum("cf")).first()[0] or 0
         parts = max(self.spark.sparkContext.defaultParallelism, -(-words // TASK_TOKENS))
-        self.rows = written(self._pack(self.docs, tokens, weighted).repartition(parts, "doc_id"), "packed")
+        self.rows = written(self._pack(self.docs).repartition(parts, "doc_id"), "packed")
         if self.priors:
             wanted = self.spark.createDataFrame([(w,) for w in self.priors], "word string")
             self.prior = np.full((self.v, self.topics), self.eta)
@@ -210,7 +248,56 @@ class LDA:
         self.begin()
         self._sweep(0, first=True)
 
+    def adopt(self, vocab: DataFrame, rows: DataFrame, docs: DataFrame | None = None, **state) -> LDA:
+        """Take topics that are given instead of drawing first ones. vocab: as of corpus.vocabulary;
+        rows(doc_id, wid, z, and any of w, sent, x, s, p), lists by place: topics and, as the model
+        keeps them, sentences, features, document parameters and discrete states. docs: documents
+        that learn() and features() read. state: attributes that training would have set. The counts
+        are made from the rows; training can go on from there."""
+        self.spark, self.vocab, self.docs = rows.sparkSession, vocab, docs
+        self.v = vocab.where("used").count()
+        self._fits()
+        if docs is not None:
+            self.learn(docs)
+            if "x" not in rows.columns:
+                rows = rows.join(docs.select("doc_id", *self.features(docs)), "doc_id")
+        self.n = np.zeros((self.v, self.topics))
+        self.begin()
+        vars(self).update(state)
+        kinds = dict(c.split() for c in ROW.split(", "))
+        have = {c: F.col(c) for c in rows.columns}
+        have.setdefault("w", F.transform("wid", lambda x: F.lit(1.0)))
+        have.setdefault("nd", F.array().cast("array<double>"))
+        plain = rows.select(*[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+        fold, states, settle = self.folded, self._states(), type(self).settle
+        shared = self.spark.sparkContext.broadcast(self.state())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in _blocks(batch):
+                    settle(block, shared.value)
+                    yield block.out(block.counts(states, fold(block.z)))
+
+        self.rows = written(plain.mapInArrow(run, ROW), "adopted")
+        self.n = self._counted()
+        return self
+
+    def _states(self) -> int:
+        """Length of a document's counts nd."""
+        return len(self.alpha)
+
+    @property
+    def folded(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The place in nd of each drawn z."""
+        return lambda z: z
+
+    @staticmethod
+    def settle(block: Block, g: dict) -> None:
+        """Fill what a kernel leaves in rows besides topics, for topics that are given."""
+
     def _fits(self) -> None:
+        if self.v > MAX_WORDS:
+            raise ValueError(f"more than {MAX_WORDS} used words; prune the vocabulary (min_cf, min_df)")
         if self.v * self.topics * 8 > MAX_STATE_BYTES:
             raise ValueError(f"{self.v} words x {self.topics} topics don't fit the broadcast state; prune the vocabulary (min_cf, min_df)")
 
@@ -258,9 +345,9 @@ class LDA:
         shared.destroy()
         dropped(old)
 
-    def _counted(self) -> np.ndarray:
+    def _counted(self, rows: DataFrame | None = None) -> np.ndarray:
         """Topic-word counts of all documents: at most topics x words rows reach the driver."""
-        flat = self.rows.select(F.explode(F.arrays_zip("wid", "z", "w")).alias("t")).select("t.wid", self.topic_of(F.col("t.z")).cast("int").alias("z"), "t.w")
+        flat = (self.rows if rows is None else rows).select(F.explode(F.arrays_zip("wid", "z", "w")).alias("t")).select("t.wid", self.topic_of(F.col("t.z")).cast("int").alias("z"), "t.w")
         got = flat.groupBy("wid", "z").agg(F.sum("w").alias("n")).toArrow()
         n = np.zeros((self.v, self.topics))
         n[got.column("wid").to_numpy(), got.column("z").to_numpy()] = got.column("n").to_numpy()
@@ -339,22 +426,57 @@ class LDA:
         t = self.rows.select("doc_id", F.posexplode(F.arrays_zip("wid", "z")).alias("place", "t"))
         return t.select("doc_id", "place", "t.wid", self.topic_of(F.col("t.z")).alias("topic"))
 
+    def attributes(self) -> dict[str, Column]:
+        """What the model keeps of a document besides its topics, by name."""
+        return {}
+
+    def documents(self) -> DataFrame:
+        """(doc_id, words, weights, topics, theta, and the model's attributes): words by wid, in text
+        order."""
+        self._trained()
+        topics = F.transform("z", lambda z: self.topic_of(z).cast("int"))
+        own = [c.alias(n) for n, c in self.attributes().items()]
+        return self.rows.select("doc_id", F.col("wid").alias("words"), F.col("w").alias("weights"), topics.alias("topics"), self.theta_expr().alias("theta"), *own)
+
     def count_by_topics(self) -> DataFrame:
         """(topic, n): tokens, whatever their weights."""
         return self.token_topics().groupBy("topic").agg(F.count("*").alias("n"))
 
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Log-likelihood of each document's own part: its topics given the prior."""
+        return dirichlet_lls(block.counts(len(g["alpha"])), g["alpha"])
+
+    def _doc_lls(self, rows: DataFrame, extra: dict | None = None) -> DataFrame:
+        f = type(self).doc_lls
+        g = self.spark.sparkContext.broadcast({**self.state(), **(extra or {})})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in _blocks(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(f(block, g.value).astype(float))], ["doc_id", "ll"])
+
+        return rows.mapInArrow(run, "doc_id long, ll double")
+
+    def doc_lls_of(self) -> DataFrame:
+        """(doc_id, ll) of the training documents."""
+        self._trained()
+        return self._doc_lls(self.rows)
+
     def doc_ll(self) -> float:
-        values, weights, totals, total_weights = count_histogram(self.rows, len(self.alpha))
-        ll = sum(float((w * (lgamma(v + a) - lgamma(a))).sum()) for v, w, a in zip(values, weights, self.alpha))
-        s = self.alpha.sum()
-        return ll - float((total_weights * (lgamma(totals + s) - lgamma(s))).sum())
+        return self.doc_lls_of().agg(F.sum("ll")).first()[0] or 0.0
 
     def state_ll(self) -> float:
-        prior = self.prior if self.prior is not None else np.full((1, self.topics), self.eta)
-        total = self.prior.sum(0) if self.prior is not None else np.full(self.topics, self.eta * self.v)
-        some = self.n > 0
-        p = np.broadcast_to(prior, self.n.shape)[some]
-        return float((lgamma(self.n[some] + p) - lgamma(p)).sum() - (lgamma(self.n.sum(0) + total) - lgamma(total)).sum())
+        """Log-likelihood of what all documents share: words given topics, and the model's priors."""
+        return self.word_ll()
+
+    def word_ll(self, live: np.ndarray | None = None) -> float:
+        prior = self.prior if self.prior is not None else self.state()["prior"]
+        prior = np.broadcast_to(prior, self.n.shape)
+        total, some = prior.sum(0), self.n > 0
+        each = (lgamma(self.n[some] + prior[some]) - lgamma(prior[some])).sum()
+        topics = lgamma(self.n.sum(0) + total) - lgamma(total)
+        return float(each - (topics if live is None else topics[live]).sum()) if self.v else 0.0
 
     @property
     def ll_per_word(self) -> float:
@@ -366,30 +488,106 @@ class LDA:
     def perplexity(self) -> float:
         return float(np.exp(-self.ll_per_word))
 
+    def facts(self) -> dict[str, object]:
+        """What summary() says of the model besides its parameters and topics."""
+        freq = self.n.sum(1) / max(self.n.sum(), 1e-300)
+        vocabs, tokens = self.vocab.agg(F.count("*"), F.coalesce(F.sum("cf"), F.lit(0))).first()
+        removed = [r["word"] for r in self.vocab.where("removed").orderBy(F.desc("cf"), F.desc("df"), "first_at").limit(50).collect()]
+        return {"documents": self.rows.count(), "words": int(tokens), "used words (weighted)": round(float(self.n.sum()), 3), "vocabulary": int(vocabs), "used vocabulary": self.v, "entropy": round(float(-(freq * np.log(freq + 1e-20)).sum()), 5), "removed": " ".join(removed) or "-", "sweeps": self.global_step, "log-likelihood a word": round(self.ll_per_word, 5), **self.more_facts()}
+
+    def more_facts(self) -> dict[str, object]:
+        return {}
+
     def summary(self, top_n: int = 5) -> str:
-        """Sizes, entropy, parameters and the top words of each topic, as text."""
+        """Sizes, parameters and the top words of each topic, as text."""
         self._trained()
-        freq = self.n.sum(1) / max(self.n.sum(), 1e-300)
-        lines = ["<Basic Info>", f"| {type(self).__name__}", f"| {self.rows.count()} docs, {self.v} used words", f"| Entropy of term-weighted words: {-(freq * np.log(freq + 1e-20)).sum():.5f}", "<Training Info>", f"| Iterations: {self.global_step}, Burn-in steps: {self.burn_in}", f"| Optimization Interval: {self.optim_interval}", f"| Log-likelihood per word: {self.ll_per_word:.5f}", "<Parameters>", *(f"| {k}: {v}" for k, v in self.params().items()), "<Topics>"]
         words: dict[int, list] = {}
         for r in self.topic_words(top_n).collect():
             words.setdefault(r["topic"], []).append((r["rank_no"], r["word"]))
         counts = {r["topic"]: r["n"] for r in self.count_by_topics().collect()}
-        return "\n".join([*lines, *(f"| #{k} ({counts.get(k, 0)}) : {' '.join(w for _, w in sorted(words.get(k, [])))}" for k in range(self.topics))])
+        table = [(k, str(v)) for k, v in {**self.facts(), **self.params()}.items()]
+        width = max(len(k) for k, _ in table)
+        topics = [f"topic {k} [{counts.get(k, 0)}]  {', '.join(w for _, w in sorted(words.get(k, [])))}" for k in range(self.topics)]
+        return "\n".join([type(self).__name__, *(f"  {k.ljust(width)}  {v}" for k, v in table), *topics])
+
+    def used_words(self) -> DataFrame:
+        """(wid, word, cf, df, weight): the used vocabulary with its summed term weights."""
+        weight = self.spark.createDataFrame(pa.table({"wid": np.arange(self.v, dtype=np.int32), "weight": self.n.sum(1)}))
+        return self.vocab.where("used").select("wid", "word", "cf", "df").join(weight, "wid")
+
+    @property
+    def removed_top_words(self) -> list[str]:
+        return [r["word"] for r in self.vocab.where("removed").orderBy(F.desc("cf"), F.desc("df"), "first_at").collect()]
 
     # --- new documents ------------------------------------------------------------------------------
 
-    def infer(self, docs: DataFrame, iterations: int = 100) -> DataFrame:
-        """(doc_id, theta) of unseen documents (same columns as add()), each on its own against the
-        trained counts. Out-of-vocabulary words are dropped; a document without known words has no
-        row. One pass, no shuffle beyond the encoding; works on streams given as packed rows too."""
+    def make_docs(self, docs: DataFrame) -> DataFrame:
+        """Unseen documents (same columns as add()) as rows for infer(). Out-of-vocabulary words are
+        dropped; a document without known words has no row."""
         self._trained()
-        tokens = self.tokens(docs)
-        weighted = corpus.encode(tokens, self.vocab)
-        weighted = weighted.withColumn("w", F.lit(1.0)) if self.tw == "one" else weighted.join(self.word_weights(), "wid")
-        rows = self._pack(docs, tokens, weighted)
-        shared = self.spark.sparkContext.broadcast({**self.state(), "infer": True})
-        return self._run(rows, shared, 1_000_000, iterations).select("doc_id", self.theta_expr().alias("theta"))
+        if self.tw == "one":
+            return self._pack(docs, pa.array(np.ones(self.v)))
+        weights = np.zeros(self.v)
+        for r in self.word_weights().toLocalIterator():
+            weights[r["wid"]] = r["w"]
+        return self._pack(docs, pa.array(weights))
+
+    def infer(self, docs: DataFrame, iterations: int = 100, *, together: bool = False, sync_interval: int = 5, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(doc_id, theta, ll) of unseen documents: topic shares, and the log-likelihood of the
+        document's topics and words beside the training documents. docs: as for add(), or rows of
+        make_docs().
+
+        Each document is drawn on its own against the trained counts: one pass, no shuffle. With
+        together, the documents also learn from each other: their counts join the trained ones, and
+        are merged every sync_interval sweeps; the model itself stays as it was.
+        """
+        return self._read_inferred(self._inferred(transform(docs) if transform else docs, iterations, together, sync_interval))
+
+    def _inferred(self, docs: DataFrame, iterations: int, together: bool = False, sync_interval: int = 5) -> DataFrame:
+        """Rows of the documents with their topics, and ll."""
+        self._trained()
+        rows = docs if "wid" in docs.columns else self.make_docs(docs)
+        if not together:
+            shared = self.spark.sparkContext.broadcast({**self.state(), "infer": True})
+            made, extra = written(self._run(rows, shared, 1_000_000, iterations), "inferred"), {}
+        else:
+            made, extra = self._inferred_together(rows, iterations, sync_interval)
+        return made.join(self._gains(made, extra), "doc_id")
+
+    def _read_inferred(self, rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", self.theta_expr().alias("theta"), "ll")
+
+    def _inferred_together(self, rows: DataFrame, iterations: int, sync_interval: int) -> tuple[DataFrame, dict]:
+        parts = max(self.spark.sparkContext.defaultParallelism, 1)
+        now, own, done = written(rows.repartition(parts, "doc_id"), "made"), np.zeros_like(self.n), 0
+        while True:
+            extra = {"n": self.n + own, "nk": (self.n + own).sum(0)}
+            if done >= iterations:
+                return now, {**extra, "own": True}
+            times = min(sync_interval, iterations - done) if done else 1
+            shared = self.spark.sparkContext.broadcast({**self.state(), **extra, **({} if done else {"infer": True})})
+            before, now = now, written(self._run(now, shared, 1_000_000 + done, times), "made")
+            own, done = self._counted(now), done + times
+            shared.destroy()
+            dropped(before)
+
+    def _gains(self, rows: DataFrame, extra: dict) -> DataFrame:
+        """(doc_id, ll): own part and what the document's words add to the words of all."""
+        state, topic = {**self.state(), **extra}, self.topic_array
+        f, like = type(self).doc_lls, self.spark.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = like.value
+            for batch in batches:
+                for block in _blocks(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(f(block, g) + word_gain(block, g, topic(block)))], ["doc_id", "ll"])
+
+        return rows.mapInArrow(run, "doc_id long, ll double")
+
+    @property
+    def topic_array(self) -> Callable[[Block], np.ndarray]:
+        """A function of blocks: the topic (row of counts) of each token."""
+        return lambda block: block.z
 
     def word_weights(self) -> DataFrame:
         """(wid, w): the mean training weight of each word, for new documents."""
@@ -407,12 +605,49 @@ class LDA:
         """Trained state besides the documents."""
         return {n: v for n, v in vars(self).items() if isinstance(v, np.ndarray)}
 
+    def _manifest(self, full: bool) -> str:
+        plain = {n: v for n, v in vars(self).items() if isinstance(v, (int, float, str, bool, list, tuple, dict)) and n not in ("priors",)}
+        return json.dumps({"class": type(self).__name__, "params": self.params(), "plain": plain, "priors": self.priors, "full": full})
+
+    def saves(self, full: bool = True) -> bytes:
+        """The model as bytes: a zip of the manifest, the arrays, the vocabulary and, with full, the
+        documents, at most MAX_SAVED_TOKENS tokens of them (save() writes larger ones to a folder)."""
+        self._trained()
+        if full and (self.rows.agg(F.sum(F.size("wid"))).first()[0] or 0) > MAX_SAVED_TOKENS:
+            raise ValueError("too many documents for bytes; save() to a folder or use full=False")
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("manifest.json", self._manifest(full))
+            for n, a in self.arrays().items():
+                held = io.BytesIO()
+                np.save(held, a, allow_pickle=False)
+                z.writestr(f"arrays/{n}.npy", held.getvalue())
+            for n, df in {"vocab": self.vocab, **({"rows": self.rows} if full else {})}.items():
+                held = io.BytesIO()
+                pq.write_table(df.toArrow(), held)
+                z.writestr(f"{n}.parquet", held.getvalue())
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LDA:
+        """load_model() of a model of this class."""
+        return cls._same(load_model(spark, path))
+
+    @classmethod
+    def loads(cls, spark: SparkSession, data: bytes) -> LDA:
+        return cls._same(loads_model(spark, data))
+
+    @classmethod
+    def _same(cls, model: LDA) -> LDA:
+        if type(model) is not cls:
+            raise ValueError(f"the model saved is a {type(model).__name__}, not a {cls.__name__}")
+        return model
+
     def save(self, path: str, full: bool = True) -> None:
         """A folder: manifest (JSON with the class name), vocabulary, arrays, and with full the
         documents too, so that training can go on."""
         self._trained()
-        plain = {n: v for n, v in vars(self).items() if isinstance(v, (int, float, str, bool, list, tuple, dict)) and n not in ("priors",)}
-        manifest = json.dumps({"class": type(self).__name__, "params": self.params(), "plain": plain, "priors": self.priors, "full": full})
+        manifest = self._manifest(full)
         self.spark.createDataFrame([(manifest,)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
         rows = [(n, str(a.dtype), [int(x) for x in a.shape], a.tobytes()) for n, a in self.arrays().items()]
         self.spark.createDataFrame(rows, "name string, dtype string, shape array<long>, data binary").write.mode("overwrite").parquet(f"{path}/arrays")
@@ -452,19 +687,94 @@ class LDA:
 REGISTRY["LDA"] = LDA
 
 
-def load_model(spark: SparkSession, path: str) -> LDA:
-    """The model saved at path, of the class its manifest names."""
-    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
+def _loaded(spark: SparkSession, manifest: dict, arrays: dict[str, np.ndarray], vocab: DataFrame, rows: DataFrame | None) -> LDA:
     model = REGISTRY[manifest["class"]].__new__(REGISTRY[manifest["class"]])
     vars(model).update({"spark": spark, "docs": None, "rows": None, "prior": None, **manifest["plain"], "priors": manifest["priors"]})
-    for r in spark.read.parquet(f"{path}/arrays").collect():
-        setattr(model, r["name"], np.frombuffer(bytes(r["data"]), r["dtype"]).reshape(r["shape"]).copy())
-    model.vocab = spark.read.parquet(f"{path}/vocab")
-    if manifest["full"]:
-        model.rows = written(spark.read.parquet(f"{path}/rows"), "loaded")
+    for n, a in arrays.items():
+        setattr(model, n, a)
+    model.vocab = vocab
+    if rows is not None:
+        model.rows = written(rows, "loaded")
     return model
 
 
+def load_model(spark: SparkSession, path: str) -> LDA:
+    """The model saved at path, of the class its manifest names."""
+    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
+    arrays = {r["name"]: np.frombuffer(bytes(r["data"]), r["dtype"]).reshape(r["shape"]).copy() for r in spark.read.parquet(f"{path}/arrays").collect()}
+    return _loaded(spark, manifest, arrays, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/rows") if manifest["full"] else None)
+
+
+def loads_model(spark: SparkSession, data: bytes) -> LDA:
+    """The model of saves()."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        manifest = json.loads(z.read("manifest.json"))
+        arrays = {n[7:-4]: np.load(io.BytesIO(z.read(n)), allow_pickle=False) for n in z.namelist() if n.startswith("arrays/")}
+        tables = {n[:-8]: spark.createDataFrame(pq.read_table(io.BytesIO(z.read(n)))) for n in z.namelist() if n.endswith(".parquet")}
+    return _loaded(spark, manifest, arrays, written(tables["vocab"], "vocab"), tables.get("rows"))
+
+
+def encoder(shared, weights: str, delimiter: str | None, total: int, documents: int):
+    """mapInArrow function: (doc_id, words, x) -> rows of the sweep engine without topics yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        v = max(len(known["words"]), 1)
+        for batch in batches:
+            rows = corpus.Rows(batch.column(1))
+            wid = pc.fill_null(pc.index_in(rows.values, value_set=known["words"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            used = np.flatnonzero(wid >= 0)
+            row, w = rows.row[used], wid[used]
+            if weights == "idf":
+                weight = np.log(documents / known["df"])[w]
+            elif weights == "pmi":
+                _, inverse, times = np.unique(row * v + w, return_inverse=True, return_counts=True)
+                weight = np.maximum(np.log(times[inverse] / (known["cf"][w] / total) / rows.size[row]), 0)
+            elif weights == "given":
+                weight = known["given"].to_numpy()[w]
+            else:
+                weight = np.ones(len(w))
+            some, size = np.unique(row, return_counts=True)
+            offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+            cut = lambda a, t: pa.ListArray.from_arrays(offsets, pa.array(a.astype(t)))
+            empty = lambda i: pa.nulls(len(some), _TYPES[i])
+            if delimiter is None:
+                sent = empty(3)
+            else:
+                ends = pc.fill_null(pc.equal(rows.values, delimiter), False).to_numpy(zero_copy_only=False).astype(np.int64)
+                sent = cut(rows.running(ends)[used], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), cut(w, np.int32), cut(weight, np.float32), sent, batch.column(2).take(pa.array(some)).cast(_TYPES[4]), empty(5), empty(6), empty(7), empty(8)], _NAMES)
+
+    return run
+
+
+def dirichlet_lls(n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """By row, the log-likelihood of counts drawn from a Dirichlet prior: alpha by column, or by row
+    and column."""
+    a = np.broadcast_to(alpha, n.shape)
+    s = a.sum(-1)
+    return (lgamma(n + a) - lgamma(a)).sum(-1) - lgamma(n.sum(-1) + s) + lgamma(s)
+
+
+def word_gain(block: Block, g: dict, topic: np.ndarray) -> np.ndarray:
+    """By document, what its words add to the log-likelihood of the words given the topics, beside
+    the counts in g (less its own, if they are among those)."""
+    v, k = g["n"].shape
+    d, w, t, c = np.broadcast_to(block.rows[:, None], block.w.shape)[block.inside], block.w[block.inside], topic[block.inside], block.weight[block.inside]
+    key, inverse = np.unique((d * k + t) * v + w, return_inverse=True)
+    own = np.bincount(inverse, c, len(key))
+    d, t, w = key // v // k, key // v % k, key % v
+    prior = np.full(len(key), g["prior"]) if np.isscalar(g["prior"]) else g["prior"][w, t]
+    total = np.broadcast_to(g["total"], k)
+    less = own if g.get("own") else 0
+    before = np.maximum(g["n"][w, t] - less, 0) + prior
+    out = np.bincount(d, lgamma(before + own) - lgamma(before), len(block.doc))
+    pair, inverse = np.unique(d * k + t, return_inverse=True)
+    size = np.bincount(inverse, own, len(pair))
+    before = np.maximum(g["nk"][pair % k] - (size if g.get("own") else 0), 0) + total[pair % k]
+    return out - np.bincount(pair // k, lgamma(before + size) - lgamma(before), len(block.doc))
+
+
 def shares(n: Column, alpha: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     both = F.zip_with(n, alpha, lambda x, a: x + a)
@@ -502,11 +812,12 @@ def sample(block: Block, g: dict, sweep: int, doc_factor: Callable[[np.ndarray,
     return np.maximum(nd, 0)
 
 
-def count_histogram(rows: DataFrame, k: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+def count_histogram(rows: DataFrame, k: int, counts: Column | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Values and numbers of documents, of each topic's counts and of the totals. Counts are rounded
-    to 3 digits, so the histogram is bounded by topics x longest document, not by the documents."""
-    total = F.aggregate("nd", F.lit(0.0), lambda s, x: s + x)
-    each = rows.select(F.posexplode(F.concat(F.slice("nd", 1, k), F.array(total))).alias("k", "n"))
+    to 3 digits, so the histogram is bounded by topics x longest document, not by the documents.
+    counts: an array of k counts of a row, instead of nd."""
+    nd = F.slice("nd", 1, k) if counts is None else counts
+    each = rows.select(nd.alias("n")).select(F.posexplode(F.concat("n", F.array(F.aggregate("n", F.lit(0.0), lambda s, x: s + x)))).alias("k", "n"))
     got = each.groupBy("k", F.round("n", 3).alias("n")).agg(F.count("*").alias("c")).toArrow().to_pandas()
     parts = [got[got["k"] == i] for i in range(k + 1)]
     return [p["n"].to_numpy() for p in parts[:k]], [p["c"].to_numpy(float) for p in parts[:k]], parts[k]["n"].to_numpy(), parts[k]["c"].to_numpy(float)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.hashing import uniforms
-from topicloom.functions.special import digamma, lbfgs, legendre, lgamma
-from topicloom.models.base import LDA, Block, sample, shares
+from topicloom.functions.special import digamma, lbfgs, legendre
+from topicloom.models.base import LDA, Block, dirichlet_lls, sample, shares
 from topicloom.models.metadata import exponents, tdf_grid
 from topicloom.models.regression import ridge
 
@@ -20,25 +20,27 @@ from topicloom.models.regression import ridge
 MAX_VALUES = 20_000
 
 
-def _values(docs: DataFrame, column: Column) -> list[str]:
-    found = [r[0] for r in docs.select(column.alias("v")).where("v is not null").distinct().orderBy("v").limit(MAX_VALUES + 1).collect()]
+def _values(docs: DataFrame, column: Column) -> dict[str, int]:
+    """Values in order with the number of documents that have them."""
+    found = docs.select(column.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(MAX_VALUES + 1).collect()
     if len(found) > MAX_VALUES:
         raise ValueError(f"more than {MAX_VALUES} different values")
-    return found
+    return {r["v"]: r["n"] for r in found}
 
 
 def _strings(values: list[str]) -> Column:
     return F.lit(values) if values else F.array().cast("array<string>")
 
 
-def partial_sums(rows: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over batches of f(x, nd, s), a vector of the size: partial in each task, then one row."""
+def partial_sums(rows: DataFrame, f, size: int, read=None) -> np.ndarray:
+    """Sum over batches of f(x, nd, s), a vector of the size: partial in each task, then one row. x, nd
+    and s are matrices by document; read makes x of the column instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                total += f(*(_matrix(batch.column(i)) for i in range(3)))
+                total += f((read or _matrix)(batch.column(0)), *(_matrix(batch.column(i)) for i in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
 
     got = rows.select("x", "nd", "s").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
@@ -52,36 +54,73 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), len(flat) // len(column))
 
 
+class Features:
+    """Sparse features of documents: lists of index, value, index, value, ..."""
+
+    def __init__(self, lists: list[np.ndarray]) -> None:
+        flat = np.concatenate(lists) if lists else np.zeros(0)
+        self.n = len(lists)
+        self.doc = np.repeat(np.arange(self.n), [len(x) // 2 for x in lists])
+        self.index, self.value = flat[::2].astype(np.int64), flat[1::2]
+
+    @classmethod
+    def of(cls, column: pa.ListArray) -> Features:
+        offsets = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False)
+        return cls([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+
+    def dot(self, lam: np.ndarray) -> np.ndarray:
+        """[documents, topics] of lam [topics, width]."""
+        out = np.zeros((self.n, len(lam)))
+        np.add.at(out, self.doc, lam.T[self.index] * self.value[:, None])
+        return out
+
+    def outer(self, slope: np.ndarray, width: int) -> np.ndarray:
+        """[topics, width]: sums over documents of slope [documents, topics] times features."""
+        out = np.zeros((width, slope.shape[1]))
+        np.add.at(out, self.index, slope[self.doc] * self.value[:, None])
+        return out.T
+
+
 class DMR(LDA):
     """Dirichlet-multinomial regression: a document's prior is exp(lambda . features) + epsilon, the
-    features being a constant, its category (metadata) and its tags (multi_metadata)."""
+    features being a constant, its category (metadata) and its tags (multi_metadata). Weights are
+    fitted from the current ones and from random ones, all in the same passes."""
 
     needs = ("metadata",)
     asymmetric_alpha = False
+    #: Random starts of a fit beside the current weights, and steps of each.
+    restarts, fit_steps = 2, 10
 
     def __init__(self, k: int = 1, *, sigma: float = 1.0, alpha_epsilon: float = 1e-10, **kw) -> None:
         super().__init__(k, **kw)
         self.sigma, self.alpha_epsilon = sigma, alpha_epsilon
         self.metadata_values: list[str] = []
         self.multi_values: list[str] = []
+        self.metadata_counts: dict[str, int] = {}
+        self.multi_counts: dict[str, int] = {}
 
     def learn(self, docs: DataFrame) -> None:
-        self.metadata_values = _values(docs, F.col("metadata"))
-        self.multi_values = _values(docs, F.explode("multi_metadata")) if "multi_metadata" in docs.columns else []
+        self.metadata_counts = _values(docs, F.col("metadata"))
+        self.multi_counts = _values(docs, F.explode(F.array_distinct("multi_metadata"))) if "multi_metadata" in docs.columns else {}
+        self.metadata_values, self.multi_values = list(self.metadata_counts), list(self.multi_counts)
 
     def _categories(self) -> Column:
-        one = F.transform(_strings(self.metadata_values), lambda v: F.coalesce((F.col("metadata") == v).cast("double"), F.lit(0.0)))
-        if not self.multi_values:
-            return F.concat(F.array(F.lit(1.0)), one)
-        many = F.transform(_strings(self.multi_values), lambda v: F.coalesce(F.array_contains("multi_metadata", v).cast("double"), F.lit(0.0)))
-        return F.concat(F.array(F.lit(1.0)), one, many)
+        """array<int>: the numbers of the constant (0), the category and the tags."""
+        at = lambda values, v: F.array_position(_strings(values), v).cast("int")
+        one = F.filter(F.array(F.when(F.col("metadata").isNotNull(), at(self.metadata_values, F.col("metadata")))), lambda i: i > 0)
+        out = F.concat(F.array(F.lit(0)), one)
+        if self.multi_values:
+            many = F.filter(F.transform(F.array_distinct(F.coalesce("multi_metadata", F.array().cast("array<string>"))), lambda v: at(self.multi_values, v)), lambda i: i > 0)
+            out = F.concat(out, F.transform(many, lambda i: i + len(self.metadata_values)))
+        return out
 
     def features(self, docs: DataFrame) -> list[Column]:
-        return [self._categories().alias("x")]
+        return [F.flatten(F.transform(self._categories(), lambda c: F.array(c.cast("double"), F.lit(1.0)))).alias("x")]
 
-    def add(self, docs: DataFrame) -> LDA:
+    def _needed(self, docs: DataFrame) -> DataFrame:
         self.needs = ("metadata", *(("multi_metadata",) if "multi_metadata" in docs.columns else ()), *type(self).needs[1:])
-        return super().add(docs)
+        return super()._needed(docs)
 
     def width(self) -> int:
         return 1 + len(self.metadata_values) + len(self.multi_values)
@@ -100,62 +139,98 @@ class DMR(LDA):
 
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
-        alpha = np.exp(np.minimum(np.stack(block.x) @ g["lam"].T, 30)) + g["eps"]
+        alpha = np.exp(np.minimum(Features(block.x).dot(g["lam"]), 30)) + g["eps"]
         nd = sample(block, g, sweep, lambda n, a: n + alpha[:a])
         block.s = list(alpha)
         return nd
 
-    def optimize(self) -> None:
-        k, w, eps = self.k, self.width(), self.alpha_epsilon
-        sd, center = self.spread(), np.zeros((k, w))
+    def _center(self) -> np.ndarray:
+        center = np.zeros((self.k, self.width()))
         center[:, 0] = self.center
+        return center
 
-        def f(flat: np.ndarray) -> tuple[float, np.ndarray]:
-            lam = flat.reshape(k, w)
-            if np.abs(lam).max() > 30:
-                return float("inf"), flat
-
-            def part(x: np.ndarray, nd: np.ndarray, _: np.ndarray) -> np.ndarray:
-                e = np.exp(x @ lam.T)
-                a = e + eps
-                s, n = a.sum(1), nd.sum(1)
-                value = (lgamma(s) - lgamma(s + n) + (lgamma(nd + a) - lgamma(a)).sum(1)).sum()
-                slope = (digamma(s) - digamma(s + n))[:, None] + digamma(nd + a) - digamma(a)
-                return np.r_[value, ((slope * e).T @ x).ravel()]
-
-            got = partial_sums(self.rows, part, 1 + k * w)
-            off = (lam - center) / sd**2
-            return -got[0] + float((off * (lam - center)).sum()) / 2, -got[1:] + off.ravel()
-
-        self.lam = lbfgs(f, self.lam.ravel(), steps=5).reshape(k, w)
+    def optimize(self) -> None:
+        k, w, eps = self.k, self.width(), self.alpha_epsilon
+        sd, center = self.spread(), self._center()
+
+        def f(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+            lams = [p.reshape(k, w) for p in points]
+            good = [i for i, lam in enumerate(lams) if np.abs(lam).max() <= 30]
+
+            def part(x: Features, nd: np.ndarray, _: np.ndarray) -> np.ndarray:
+                out = []
+                for i in good:
+                    e = np.exp(x.dot(lams[i]))
+                    a = e + eps
+                    s, n = a.sum(1), nd.sum(1)
+                    slope = (digamma(s) - digamma(s + n))[:, None] + digamma(nd + a) - digamma(a)
+                    out.append(np.r_[dirichlet_lls(nd, a).sum(), x.outer(slope * e, w).ravel()])
+                return np.concatenate(out)
+
+            size = 1 + k * w
+            got = partial_sums(self.rows, part, size * len(good), Features.of).reshape(-1, size) if good else []
+            answers: list[tuple[float, np.ndarray]] = [(float("inf"), p) for p in points]
+            for i, sums in zip(good, got):
+                off = (lams[i] - center) / sd**2
+                answers[i] = (-sums[0] + float((off * (lams[i] - center)).sum()) / 2, -sums[1:] + off.ravel())
+            return answers
+
+        noise = np.random.Generator(np.random.Philox(key=[self.seed, self.global_step])).standard_normal((self.restarts, k, w))
+        starts = [self.lam.ravel(), *((center + np.minimum(sd, 1.0) * 0.5 * x).ravel() for x in noise)]
+        self.lam = lbfgs(f, starts, steps=self.fit_steps).reshape(k, w)
+
+    def attributes(self) -> dict[str, Column]:
+        return {"alpha": F.col("s"), "features": F.col("x")}
 
     def theta_expr(self) -> Column:
         return shares(F.col("nd"), F.col("s"))
 
-    def doc_ll(self) -> float:
-        lam, eps = self.lam, self.alpha_epsilon
+    @staticmethod
+    def settle(block: Block, g: dict) -> None:
+        block.s = list(np.exp(np.minimum(Features(block.x).dot(g["lam"]), 30)) + g["eps"])
 
-        def part(x: np.ndarray, nd: np.ndarray, _: np.ndarray) -> np.ndarray:
-            a = np.exp(x @ lam.T) + eps
-            s, n = a.sum(1), nd.sum(1)
-            return np.array([(lgamma(s) - lgamma(s + n) + (lgamma(nd + a) - lgamma(a)).sum(1)).sum()])
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        alpha = np.exp(np.minimum(Features(block.x).dot(g["lam"]), 30)) + g["eps"]
+        return dirichlet_lls(block.counts(len(g["lam"])), alpha)
+
+    def state_ll(self) -> float:
+        """Words given topics, and the weights given their normal prior."""
+        return self.word_ll() - float((((self.lam - self._center()) / self.spread()) ** 2).sum()) / 2
 
-        return float(partial_sums(self.rows, part, 1)[0])
+    def more_facts(self) -> dict[str, object]:
+        tell = lambda counts: ", ".join(f"{v} {n}" for v, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20])
+        return {"metadata": f"{len(self.metadata_counts)}: {tell(self.metadata_counts)}", **({"multi_metadata": f"{len(self.multi_counts)}: {tell(self.multi_counts)}"} if self.multi_counts else {})}
+
+    def _numbers(self, metadata: str | None, multi_metadata: tuple[str, ...]) -> list[int]:
+        out = [0]
+        for v, known, at in [(metadata, self.metadata_values, 1), *((m, self.multi_values, 1 + len(self.metadata_values)) for m in multi_metadata)]:
+            if v is not None:
+                if v not in known:
+                    raise ValueError(f"unknown metadata {v!r}")
+                out.append(at + known.index(v))
+        return out
 
     def topic_prior(self, metadata: str | None = None, multi_metadata: tuple[str, ...] = (), raw: bool = False) -> np.ndarray:
         """Prior of a document with the metadata; raw: its logarithm without epsilon."""
         self._trained()
-        x = np.zeros(self.width())
-        x[0] = 1
-        for v, known, at in [(metadata, self.metadata_values, 1), *((m, self.multi_values, 1 + len(self.metadata_values)) for m in multi_metadata)]:
-            if v is None:
-                continue
-            if v not in known:
-                raise ValueError(f"unknown metadata {v!r}")
-            x[at + known.index(v)] = 1
-        logs = self.lam @ x
+        logs = self.lam[:, self._numbers(metadata, multi_metadata)].sum(1)
         return logs if raw else np.exp(logs) + self.alpha_epsilon
 
+    @property
+    def lambdas(self) -> np.ndarray:
+        """[topics, features]: constant, categories, tags."""
+        self._trained()
+        return self.lam
+
+    def weights_of(self) -> DataFrame:
+        """(kind, value, topic, lam): the weights by what they stand for; kind constant, metadata or
+        multi_metadata."""
+        names = [("constant", None), *(("metadata", v) for v in self.metadata_values), *(("multi_metadata", v) for v in self.multi_values)]
+        each = self.lam.shape[1] // len(names)
+        rows = [(kind, v, t, [float(x) for x in self.lam[t, i * each : (i + 1) * each]]) for i, (kind, v) in enumerate(names) for t in range(self.k)]
+        return self.spark.createDataFrame(rows, "kind string, value string, topic int, lam array<double>")
+
 
 class GDMR(DMR):
     """Generalised DMR: weights are polynomials (shifted Legendre) of numeric metadata, one polynomial
@@ -174,9 +249,15 @@ class GDMR(DMR):
         bad = docs.where(F.col("numeric_metadata").isNull() | (F.size("numeric_metadata") != n)).limit(1).count()
         if bad:
             raise ValueError(f"numeric_metadata must have {n} numbers")
+        stats = (F.min, F.max, F.avg, F.stddev_pop)
+        found = docs.agg(*[f(F.get("numeric_metadata", F.lit(i))).alias(f"{f.__name__}{i}") for i in range(n) for f in stats]).first() if n else {}
+        self.numeric_stats = [[found[f"{f.__name__}{i}"] for f in stats] for i in range(n)]
         if self.metadata_range is None:
-            found = docs.agg(*[f(F.get("numeric_metadata", F.lit(i))).alias(f"{f.__name__}{i}") for i in range(n) for f in (F.min, F.max)]).first()
-            self.metadata_range = [(found[f"min{i}"], found[f"max{i}"]) for i in range(n)]
+            self.metadata_range = [(low, high) for low, high, *_ in self.numeric_stats]
+
+    def more_facts(self) -> dict[str, object]:
+        named = {f"numeric metadata {i}": f"from {low:g} to {high:g}, mean {mean:g}, deviation {sd:g}" for i, (low, high, mean, sd) in enumerate(self.numeric_stats)}
+        return {**super().more_facts(), **named}
 
     def _terms(self) -> Column:
         unit = [(F.get("numeric_metadata", F.lit(i)) - low) / max(high - low, 1e-300) for i, (low, high) in enumerate(self.metadata_range)]
@@ -189,7 +270,8 @@ class GDMR(DMR):
         return F.array(*out)
 
     def features(self, docs: DataFrame) -> list[Column]:
-        return [F.flatten(F.transform(self._categories(), lambda c: F.transform(self._terms(), lambda t: t * c))).alias("x")]
+        n = len(exponents(self.degrees))
+        return [F.flatten(F.transform(self._categories(), lambda c: F.flatten(F.transform(self._terms(), lambda t, j: F.array((c * n + j).cast("double"), t))))).alias("x")]
 
     def width(self) -> int:
         return super().width() * len(exponents(self.degrees))
@@ -199,28 +281,24 @@ class GDMR(DMR):
         one = np.array([self.sigma0 if not any(p) else self.sigma / math.prod((n + 1) ** self.decay for n in p) for p in terms])
         return np.tile(one, self.width() // len(terms))
 
-    def tdf(self, numeric_metadata: list[float], metadata: str | None = None) -> np.ndarray:
+    def tdf(self, numeric_metadata: list[float], metadata: str | None = None, multi_metadata: tuple[str, ...] = ()) -> np.ndarray:
         """Topic shares at a point."""
         from topicloom.functions.special import legendre_values
 
         unit = [(v - a) / max(b - a, 1e-300) for v, (a, b) in zip(numeric_metadata, self.metadata_range)]
         terms = np.array([math.prod(float(legendre_values(np.array(x), n)) for x, n in zip(unit, p)) for p in exponents(self.degrees)])
-        s = self._of(metadata) @ terms
+        s = self._of(metadata, multi_metadata) @ terms
         e = np.exp(s - s.max())
         return e / e.sum()
 
-    def _of(self, metadata: str | None) -> np.ndarray:
-        """[topics, terms]: weights of the constant plus those of the category."""
+    def _of(self, metadata: str | None, multi_metadata: tuple[str, ...] = ()) -> np.ndarray:
+        """[topics, terms]: weights of the constant plus those of the category and the tags."""
         lam = self.lam.reshape(self.k, -1, len(exponents(self.degrees)))
-        if metadata is None:
-            return lam[:, 0]
-        if metadata not in self.metadata_values:
-            raise ValueError(f"unknown metadata {metadata!r}")
-        return lam[:, 0] + lam[:, 1 + self.metadata_values.index(metadata)]
+        return lam[:, self._numbers(metadata, multi_metadata)].sum(1)
 
-    def tdf_linspace(self, points: list[int], metadata: str | None = None) -> DataFrame:
+    def tdf_linspace(self, points: list[int], metadata: str | None = None, multi_metadata: tuple[str, ...] = ()) -> DataFrame:
         """(x array, z, p): topic shares on a grid over the metadata range."""
-        return tdf_grid(self.spark, self._of(metadata).tolist(), self.degrees, [tuple(r) for r in self.metadata_range], points)
+        return tdf_grid(self.spark, self._of(metadata, multi_metadata).tolist(), self.degrees, [tuple(r) for r in self.metadata_range], points)
 
     def topic_prior(self, *a, **kw):
         raise RuntimeError("the prior depends on numbers here; use tdf()")
@@ -237,7 +315,7 @@ class LLDA(LDA):
         self.label_names: list[str] = []
 
     def learn(self, docs: DataFrame) -> None:
-        self.label_names = _values(docs, F.explode("labels"))
+        self.label_names = list(_values(docs, F.explode("labels")))
         self.k = max(self.k, len(self.label_names))
         self.alpha = np.full(self.k, self.alpha[0])
 
@@ -255,6 +333,9 @@ class LLDA(LDA):
         mask = np.stack(block.x)
         return sample(block, g, sweep, lambda n, a: (n + g["alpha"]) * mask[:a])
 
+    def attributes(self) -> dict[str, Column]:
+        return {"mask": F.col("x")}
+
     def theta_expr(self) -> Column:
         return shares(F.col("nd"), F.zip_with(F.lit(self.alpha.tolist()), F.col("x"), lambda a, m: a * m))
 
@@ -262,6 +343,9 @@ class LLDA(LDA):
         """The label of each topic."""
         return [*self.label_names, *[None] * (self.k - len(self.label_names))]
 
+    def topic_label_dict(self) -> list[str]:
+        return list(self.label_names)
+
     def doc_labels(self) -> DataFrame:
         """(doc_id, label, p): share of each label's topics in a document."""
         names = F.lit([x if x is not None else "" for x in self.topic_labels()])
@@ -278,7 +362,7 @@ class PLDA(LLDA):
         self.latent_topics, self.topics_per_label = latent_topics, topics_per_label
 
     def learn(self, docs: DataFrame) -> None:
-        self.label_names = _values(docs, F.explode("labels"))
+        self.label_names = list(_values(docs, F.explode("labels")))
         self.k = len(self.label_names) * self.topics_per_label + self.latent_topics
         if not self.k:
             raise ValueError("neither labels nor latent topics")
@@ -312,8 +396,8 @@ class SLDA(LDA):
         y = F.transform(F.sequence(F.lit(0), F.lit(len(self.vars) - 1)), lambda i: F.coalesce(F.get("y", i).cast("double"), F.lit(float("nan")))) if self.vars else F.array().cast("array<double>")
         return [(y if "y" in docs.columns else F.array_repeat(F.lit(float("nan")), len(self.vars))).alias("x")]
 
-    def infer(self, docs: DataFrame, iterations: int = 100) -> DataFrame:
-        return super().infer(docs if "y" in docs.columns else docs.withColumn("y", F.lit(None).cast("array<double>")), iterations)
+    def make_docs(self, docs: DataFrame) -> DataFrame:
+        return super().make_docs(docs if "y" in docs.columns else docs.withColumn("y", F.lit(None).cast("array<double>")))
 
     def begin(self) -> None:
         self.coef = np.tile(self.mu[:, None], (1, self.k)) if self.vars else np.zeros((0, self.k))
@@ -321,6 +405,9 @@ class SLDA(LDA):
     def state(self) -> dict:
         return {**super().state(), "coef": self.coef, "vars": self.vars, "noise": self.glm_param}
 
+    def attributes(self) -> dict[str, Column]:
+        return {"y": F.col("x")}
+
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
         y, coef, size = np.stack(block.x), g["coef"], np.maximum(block.weight.sum(1), 0.01)
@@ -348,26 +435,55 @@ class SLDA(LDA):
 
     def merge(self) -> None:
         super().merge()
-        k = self.k
         for f, kind in enumerate(self.vars):
+            gram, moment = self.normal_equations(f)
+            noise = 1.0 if kind == "b" else self.glm_param[f]
+            self.coef[f] = ridge(gram / noise, moment / noise, np.full(self.k, self.mu[f]), np.full(self.k, self.nu_sq[f]))
 
-            def part(x: np.ndarray, nd: np.ndarray, s: np.ndarray, f=f, kind=kind) -> np.ndarray:
-                known = ~np.isnan(x[:, f])
-                z = nd[known] / np.maximum(nd[known].sum(1, keepdims=True), 0.01)
-                y = x[known, f]
-                w = s[known, f] if kind == "b" else np.ones(len(y))
-                return np.r_[((z * w[:, None]).T @ z).ravel(), z.T @ (y - 0.5 if kind == "b" else y)]
+    def normal_equations(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the documents whose y[f] is known of z z' and z y, z the shares of topics; binary
+        ones are weighted and centred."""
+        k, kind = self.k, self.vars[f]
 
-            got = partial_sums(self.rows, part, k * k + k)
-            noise = 1.0 if kind == "b" else self.glm_param[f]
-            self.coef[f] = ridge(got[: k * k].reshape(k, k) / noise, got[k * k :] / noise, np.full(k, self.mu[f]), np.full(k, self.nu_sq[f]))
+        def part(x: np.ndarray, nd: np.ndarray, s: np.ndarray) -> np.ndarray:
+            known = ~np.isnan(x[:, f])
+            z = nd[known] / np.maximum(nd[known].sum(1, keepdims=True), 0.01)
+            y = x[known, f]
+            w = s[known, f] if kind == "b" else np.ones(len(y))
+            return np.r_[((z * w[:, None]).T @ z).ravel(), z.T @ (y - 0.5 if kind == "b" else y)]
+
+        got = partial_sums(self.rows, part, k * k + k)
+        return got[: k * k].reshape(k, k), got[k * k :]
+
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Topics given the prior, and the known responses given the topics."""
+        n, y = block.counts(len(g["alpha"])), np.stack(block.x)
+        out = dirichlet_lls(n, g["alpha"])
+        for f, kind in enumerate(g["vars"]):
+            m = n @ g["coef"][f] / np.maximum(n.sum(1), 0.01)
+            known = ~np.isnan(y[:, f])
+            target = np.where(known, y[:, f], 0)
+            out = out + np.where(known, -((target - m) ** 2) / (2 * g["noise"][f]) if kind == "l" else target * m - np.logaddexp(0, m), 0)
+        return out
+
+    def state_ll(self) -> float:
+        """Words given topics, and the coefficients given their normal prior."""
+        return self.word_ll() - float((((self.coef - self.mu[:, None]) ** 2) / (2 * self.nu_sq[:, None])).sum())
+
+    def regression_coef(self, var: int | None = None) -> np.ndarray:
+        return self.coef if var is None else self.coef[var]
+
+    def var_type(self, var: int) -> str:
+        return self.vars[var]
 
-    def estimate(self) -> DataFrame:
-        """(doc_id, y_hat array): expected responses of the training documents."""
+    def estimate(self, docs: DataFrame | None = None, iterations: int = 100) -> DataFrame:
+        """(doc_id, y_hat array): expected responses of the training documents, or of unseen ones."""
         self._trained()
+        rows = self.rows if docs is None else self._inferred(docs, iterations)
         total = F.aggregate("nd", F.lit(0.0), lambda s, x: s + x)
         out = []
         for f, kind in enumerate(self.vars):
             m = F.aggregate(F.zip_with("nd", F.lit(self.coef[f].tolist()), lambda n, c: n * c), F.lit(0.0), lambda s, x: s + x) / F.greatest(total, F.lit(0.01))
             out.append(1 / (1 + F.exp(-m)) if kind == "b" else m)
-        return self.rows.select("doc_id", F.array(*out).alias("y_hat"))
+        return rows.select("doc_id", F.array(*out).alias("y_hat"))

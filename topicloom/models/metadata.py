@@ -4,23 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import legendre
-from topicloom.operators.corpus import numbered
-
-
-def feature_ids(docs: DataFrame, column: str) -> DataFrame:
-    """(column, f): each metadata value with a number, in order; null values have none."""
-    values = docs.select(column).where(F.col(column).isNotNull()).distinct()
-    return numbered(values, F.asc(column)).select(column, (F.col("rn") - 1).cast("int").alias("f"))
-
-
-def alpha_by_metadata(features: DataFrame, epsilon: float = 1e-10) -> DataFrame:
-    """(metadata, z, alpha): exp of each topic's log weight in terms(array) plus epsilon."""
-    return features.select("metadata", F.posexplode(F.transform("terms", lambda t: F.exp(t) + epsilon)).alias("z", "alpha"))
 
 
 def exponents(degrees: list[int]) -> list[tuple[int, ...]]:
@@ -49,16 +36,3 @@ def tdf_grid(spark: SparkSession, lam: list[list[float]], degrees: list[int], ra
     e = F.transform(F.array(*scores), lambda s: F.exp(s))
     total = F.aggregate("e", F.lit(0.0), lambda s, v: s + v)
     return grid.withColumn("e", e).select("x", F.posexplode(F.transform("e", lambda v: v / total)).alias("z", "p"))
-
-
-def design(metadata: list, multi: list, values: dict, multi_values: dict) -> np.ndarray:
-    """[docs, 1 + categories + multi categories]: constant and indicators."""
-    x = np.zeros((len(metadata), 1 + len(values) + len(multi_values)))
-    x[:, 0] = 1
-    for i, (m, ms) in enumerate(zip(metadata, multi)):
-        if m in values:
-            x[i, 1 + values[m]] = 1
-        for v in ms if ms is not None else ():
-            if v in multi_values:
-                x[i, 1 + len(values) + multi_values[v]] = 1
-    return x

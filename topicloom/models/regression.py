@@ -3,15 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def gram_matrix(theta: DataFrame, k: int) -> DataFrame:
-    """(i, j, s): sums over documents of theta_i * theta_j, in one pass and k * k sums."""
-    wide = theta.groupBy("doc_id").agg(*[F.max(F.when(F.col("z") == i, F.col("p"))).alias(f"x{i}") for i in range(k)])
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias("s")) for i in range(k) for j in range(k)]
-    return wide.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 def ridge(gram: np.ndarray, moment: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:

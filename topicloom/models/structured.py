@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.hashing import normals, uniforms
 from topicloom.functions.special import digamma, lgamma
-from topicloom.models.base import LDA, Block, draw, sample, shares
-from topicloom.operators import corpus
+from topicloom.models.base import LDA, Block, count_histogram, dirichlet_lls, draw, fixed_point, sample, shares
 
 
 def _vector(mean: np.ndarray) -> Column:
@@ -63,6 +62,14 @@ class PA(LDA):
     def topic_of(self, z: Column) -> Column:
         return F.pmod(z, F.lit(self.k2))
 
+    @property
+    def topic_array(self):
+        k2 = self.k2
+        return lambda block: block.z % k2
+
+    def _states(self) -> int:
+        return self.k1 * self.k2
+
     def state(self) -> dict:
         return {**super().state(), "sub": self.subalpha}
 
@@ -81,47 +88,81 @@ class PA(LDA):
 
         return joint(block, g, sweep, k1 * k2, np.tile(np.arange(k2), k1), chance, move)
 
+    def _below(self, i: int) -> Column:
+        """Counts of a document below super topic i."""
+        return F.slice("nd", i * self.k2 + 1, self.k2)
+
     def optimize(self) -> None:
         """A fixed-point step of each super topic's prior over sub topics."""
-        k1, k2 = self.k1, self.k2
-        part = F.transform(F.sequence(F.lit(0), F.lit(k1 - 1)), lambda i: F.aggregate(F.slice("nd", i * k2 + 1, k2), F.lit(0.0), lambda s, x: s + x))
-        each = self.rows.select(F.posexplode(F.concat("nd", part)).alias("k", "n")).groupBy("k", F.round("n", 3).alias("n")).agg(F.count("*").alias("c")).toArrow().to_pandas()
-        for i in range(k1):
-            totals = each[each["k"] == k1 * k2 + i]
-            s = self.subalpha[i].sum()
-            down = float((totals["c"] * (digamma(totals["n"].to_numpy() + s) - digamma(s))).sum())
-            for j in range(k2):
-                of = each[each["k"] == i * k2 + j]
-                a = self.subalpha[i, j]
-                if down > 0:
-                    self.subalpha[i, j] = max(float((of["c"] * (digamma(of["n"].to_numpy() + a) - digamma(a))).sum()) / down * a, 1e-5)
+        for i, alpha in enumerate(self._stepped(1)):
+            self.subalpha[i] = alpha
+
+    def _stepped(self, steps: int) -> list[np.ndarray]:
+        size = self.subalpha.shape[1]
+        values, weights, _, _ = count_histogram(self.rows, (size + 1) * self.k1, F.concat(*[F.concat(self._below(i), F.array(F.aggregate(self._below(i), F.lit(0.0), lambda s, x: s + x))) for i in range(self.k1)]))
+        at = range(0, (size + 1) * self.k1, size + 1)
+        return [fixed_point(self.subalpha[i], values[a : a + size], weights[a : a + size], values[a + size], weights[a + size], steps) for i, a in enumerate(at)]
+
+    def _nd_sums(self) -> np.ndarray:
+        """Counts of all documents by state."""
+        got = self.rows.select(F.posexplode("nd").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(self._states())
+        out[got.column("i").to_numpy()] = got.column("n").to_numpy()
+        return out
 
     def _super(self) -> Column:
         k2 = self.k2
         return F.transform(F.sequence(F.lit(0), F.lit(self.k1 - 1)), lambda i: F.aggregate(F.slice("nd", i * k2 + 1, k2), F.lit(0.0), lambda s, x: s + x))
 
+    def attributes(self) -> dict[str, Column]:
+        return {"super_topics": F.transform("z", lambda z: F.floor(z / self.k2).cast("int"))}
+
     def theta_expr(self) -> Column:
         return shares(self._super(), _vector(self.alpha))
 
-    def sub_topic_dist(self) -> DataFrame:
-        """(doc_id, sub array<double>): (n + subalpha) summed over super topics, as shares."""
-        k2 = self.k2
+    def _sub(self) -> Column:
+        """array<double>: shares of sub topics of a row: (n + subalpha) summed over super topics."""
+        k1, k2 = self.k1, self.k2
         both = F.zip_with("nd", _vector(self.subalpha.ravel()), lambda n, a: n + a)
-        sums = F.transform(F.sequence(F.lit(0), F.lit(k2 - 1)), lambda j: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(self.k1 - 1)), lambda i: F.get("b", i * k2 + j)), F.lit(0.0), lambda s, x: s + x))
-        total = F.aggregate("s", F.lit(0.0), lambda s, x: s + x)
-        return self.rows.select("doc_id", both.alias("b")).select("doc_id", sums.alias("s")).select("doc_id", F.transform("s", lambda x: x / total).alias("sub"))
+        sums = F.transform(F.sequence(F.lit(0), F.lit(k2 - 1)), lambda j: F.aggregate(F.filter(both, lambda _, i: F.pmod(i, F.lit(k2)) == j), F.lit(0.0), lambda s, x: s + x))
+        total = F.aggregate("nd", F.lit(float(self.subalpha.sum())), lambda s, x: s + x)
+        return F.transform(sums, lambda x: x / total) if k1 else sums
+
+    def sub_topic_dist(self) -> DataFrame:
+        """(doc_id, sub array<double>) of the training documents."""
+        self._trained()
+        return self.rows.select("doc_id", self._sub().alias("sub"))
+
+    def doc_sub_topics(self, top_n: int = 10) -> DataFrame:
+        """(doc_id, topics array<struct<p, topic>>): the largest sub topics, ties by topic."""
+        ranked = F.array_sort(F.transform("sub", lambda p, i: F.struct((-p).alias("n"), i.alias("topic"))))
+        return self.sub_topic_dist().select("doc_id", F.transform(F.slice(ranked, 1, top_n), lambda x: F.struct((-x["n"]).alias("p"), x["topic"].alias("topic"))).alias("topics"))
+
+    def _read_inferred(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, theta, sub, ll): shares of super and of sub topics."""
+        return rows.select("doc_id", self.theta_expr().alias("theta"), self._sub().alias("sub"), "ll")
+
+    def sub_topics(self, super_topic: int | None = None, top_n: int = 10) -> np.ndarray | list[tuple[int, float]]:
+        """[k1, k2]: each super topic's shares of sub topics, or the largest of one as (topic, share)."""
+        share = self.subalpha / self.subalpha.sum(1, keepdims=True)
+        if super_topic is None:
+            return share
+        return [(int(i), float(share[super_topic, i])) for i in np.argsort(-share[super_topic], kind="stable")[:top_n]]
+
+    def count_by_super_topic(self) -> DataFrame:
+        """(topic, n): tokens of each super topic."""
+        self._trained()
+        z = self.rows.select(F.explode("z").alias("z"))
+        return z.groupBy(F.floor(F.col("z") / self.k2).cast("int").alias("topic")).agg(F.count("*").alias("n"))
 
-    def sub_topics(self) -> np.ndarray:
-        """[k1, k2]: each super topic's shares of sub topics."""
-        return self.subalpha / self.subalpha.sum(1, keepdims=True)
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        k1, k2 = g["sub"].shape
+        return dirichlet_lls(block.counts(k1, block.z // k2), g["alpha"])
 
-    def doc_ll(self) -> float:
-        """Of the super topics."""
-        sup = self.rows.select(F.posexplode(self._super()).alias("k", "n")).groupBy("k", "n").agg(F.count("*").alias("c")).toArrow().to_pandas()
-        tot = self.rows.select(F.aggregate("nd", F.lit(0.0), lambda s, x: s + x).alias("n")).groupBy("n").agg(F.count("*").alias("c")).toArrow().to_pandas()
-        a = self.alpha[sup["k"].to_numpy()]
-        s = self.alpha.sum()
-        return float((sup["c"] * (lgamma(sup["n"].to_numpy() + a) - lgamma(a))).sum() - (tot["c"] * (lgamma(tot["n"].to_numpy() + s) - lgamma(s))).sum())
+    def state_ll(self) -> float:
+        """Sub topics given super topics, and words given sub topics."""
+        return float(dirichlet_lls(self._nd_sums().reshape(self.k1, self.k2), self.subalpha).sum()) + self.word_ll()
 
 
 class HPA(PA):
@@ -163,8 +204,29 @@ class HPA(PA):
 
         return joint(block, g, sweep, states, topic, chance, move)
 
+    @property
+    def topic_array(self):
+        k1, k2 = self.k1, self.k2
+        return lambda block: np.where(block.z <= k1, block.z, 1 + k1 + (block.z - 1 - k1) % k2)
+
+    def _states(self) -> int:
+        return 1 + self.k1 + self.k1 * self.k2
+
+    def _below(self, i: int) -> Column:
+        """Counts of super topic i itself and of the sub topics below it."""
+        return F.concat(F.slice("nd", 2 + i, 1), F.slice("nd", 2 + self.k1 + i * self.k2, self.k2))
+
     def optimize(self) -> None:
-        """The priors are kept."""
+        """Fixed-point steps of both priors: over the root and the super topics, and below each."""
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+        upper = F.concat(F.slice("nd", 1, 1), F.array(*[total(self._below(i)) for i in range(self.k1)]))
+        subs = self._stepped(10)
+        self.alpha = fixed_point(self.alpha, *count_histogram(self.rows, self.k1 + 1, upper))
+        for i, alpha in enumerate(subs):
+            self.subalpha[i] = alpha
+
+    def attributes(self) -> dict[str, Column]:
+        return {"states": F.col("z")}
 
     def theta_expr(self) -> Column:
         """[1 + k1 + k2]: root, super and sub topics; shares of the tokens."""
@@ -173,11 +235,30 @@ class HPA(PA):
         total = F.greatest(F.aggregate("nd", F.lit(0.0), lambda s, x: s + x), F.lit(1e-300))
         return F.transform(F.concat(F.slice("nd", 1, 1 + k1), subs), lambda x: x / total)
 
+    def _read_inferred(self, rows: DataFrame) -> DataFrame:
+        return LDA._read_inferred(self, rows)
+
     def sub_topic_dist(self) -> DataFrame:
         raise RuntimeError("sub topics of a document are part of its topic distribution here")
 
-    def doc_ll(self) -> float:
-        return 0.0
+    def count_by_super_topic(self) -> DataFrame:
+        """(topic, n): tokens of each super topic and of the sub topics below it."""
+        self._trained()
+        z = self.rows.select(F.explode("z").alias("z")).where("z > 0")
+        below = F.floor((F.col("z") - 1 - self.k1) / self.k2)
+        return z.groupBy(F.when(F.col("z") <= self.k1, F.col("z") - 1).otherwise(below).cast("int").alias("topic")).agg(F.count("*").alias("n"))
+
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        k1, k2 = g["sub"].shape[0], g["sub"].shape[1] - 1
+        upper = np.where(block.z == 0, 0, np.where(block.z <= k1, block.z, 1 + (block.z - 1 - k1) // k2))
+        return dirichlet_lls(block.counts(k1 + 1, upper), g["alpha"])
+
+    def state_ll(self) -> float:
+        """What stands below each super topic, and words given topics."""
+        n = self._nd_sums()
+        below = np.concatenate([n[1 : 1 + self.k1, None], n[1 + self.k1 :].reshape(self.k1, self.k2)], 1)
+        return float(dirichlet_lls(below, self.subalpha).sum()) + self.word_ll()
 
 
 class MGLDA(LDA):
@@ -191,12 +272,43 @@ class MGLDA(LDA):
         self.k_g, self.k_l, self.t, self.delimiter = k_g, k_l, t, delimiter
         self.alpha_g, self.alpha_l, self.alpha_mg, self.alpha_ml, self.eta_g, self.eta_l, self.gamma = alpha_g, alpha_l, alpha_mg, alpha_ml, eta_g, eta_l, gamma
 
-    def tokens(self, docs: DataFrame) -> DataFrame:
-        return corpus.split_sentences(corpus.word_tokens(docs).where("word is not null"), self.delimiter)
+    def countable(self, docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", F.filter("words", lambda w: w != self.delimiter).alias("words"))
 
     def topic_of(self, z: Column) -> Column:
         return F.pmod(z, F.lit(self.k_g + self.k_l))
 
+    @property
+    def topic_array(self):
+        k = self.k_g + self.k_l
+        return lambda block: block.z % k
+
+    def _states(self) -> int:
+        return self.k_g + self.k_l
+
+    @property
+    def folded(self):
+        k = self.k_g + self.k_l
+        return lambda z: z % k
+
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Global topics of the document; grain and local topics of each window over its sentences;
+        windows of each sentence."""
+        kg, kl, t_, ag, al, amg, aml, gamma = g["m"]
+        k, b, s_ = kg + kl, len(block.doc), int(block.sent.max(initial=0)) + 1
+        d = np.broadcast_to(block.rows[:, None], block.z.shape)[block.inside]
+        s, z, c = block.sent[block.inside], block.z[block.inside], block.weight[block.inside]
+        v, topic = z // k, z % k
+        low = topic >= kg
+        count = lambda keys, n, w: np.bincount(keys, w, n)
+        windows = s_ + t_ - 1
+        grain = count(((d * windows + s + v) * 2 + low), b * windows * 2, c).reshape(b, windows, 2)
+        local = count((d * windows + s + v)[low] * kl + topic[low] - kg, b * windows * kl, c[low]).reshape(b, windows, kl)
+        of_sent = count((d * s_ + s) * t_ + v, b * s_ * t_, c).reshape(b, s_, t_)
+        upper = count(d[~low] * kg + topic[~low], b * kg, c[~low]).reshape(b, kg)
+        return dirichlet_lls(upper, np.full(kg, ag)) + dirichlet_lls(grain, np.array([amg, aml])).sum(1) + dirichlet_lls(local, np.full(kl, al)).sum(1) + dirichlet_lls(of_sent, np.full(t_, gamma)).sum(1)
+
     def state(self) -> dict:
         s = super().state()
         if self.prior is None:
@@ -204,6 +316,9 @@ class MGLDA(LDA):
             s |= {"prior": np.broadcast_to(eta, self.n.shape).copy(), "total": eta * self.v}
         return {**s, "m": (self.k_g, self.k_l, self.t, self.alpha_g, self.alpha_l, self.alpha_mg, self.alpha_ml, self.gamma)}
 
+    def attributes(self) -> dict[str, Column]:
+        return {"sentences": F.col("sent"), "windows": F.transform("z", lambda z: F.floor(z / (self.k_g + self.k_l)).cast("int"))}
+
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
         kg, kl, t_, ag, al, amg, aml, gamma = g["m"]
@@ -235,7 +350,7 @@ class MGLDA(LDA):
         return block.counts(k, block.z % k)
 
     def optimize(self) -> None:
-        """The priors are kept."""
+        """The priors are kept, as they are given."""
 
     def theta_expr(self) -> Column:
         total = F.greatest(F.aggregate("nd", F.lit(0.0), lambda s, x: s + x), F.lit(1e-300))
@@ -255,13 +370,16 @@ class CT(LDA):
     def state(self) -> dict:
         return {**super().state(), "mean": self.prior_mean, "precision": np.linalg.inv(self.prior_cov), "rounds": self.num_beta_samples}
 
+    def attributes(self) -> dict[str, Column]:
+        return {"beta": F.col("s")}
+
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
         k, mean, precision = len(g["mean"]), g["mean"], g["precision"]
         beta = np.stack([s if s is not None and len(s) else mean for s in block.s])
         e = np.exp(beta - beta.max(1, keepdims=True))
         nd = sample(block, g, sweep, lambda n, a: e[:a])
-        size, erf = nd.sum(1), np.frompyfunc(math.erf, 1, 1)
+        size = nd.sum(1)
         u = uniforms(g["seed"], block.doc, 3 * k * g["rounds"], sweep, 1).reshape(len(beta), g["rounds"], k, 3)
         sd = 1 / np.sqrt(np.diag(precision))
         for i in range(g["rounds"]):
@@ -276,8 +394,7 @@ class CT(LDA):
                 logit = lambda x: np.log(np.clip(x, 1e-12, 1 - 1e-12) / (1 - np.clip(x, 1e-12, 1 - 1e-12)))
                 center = mean[j] - ((beta - mean) @ precision[j] - (beta[:, j] - mean[j]) * precision[j, j]) / precision[j, j]
                 a, b = ((np.clip((logit(x) + rest - center) / sd[j], -8, 8)) for x in (low, high))
-                ca, cb = (0.5 * (1 + erf(x / math.sqrt(2)).astype(float)) for x in (a, b))
-                beta[:, j] = center + sd[j] * np.clip(_normal_quantile(ca + u[:, i, j, 2] * (cb - ca)), a, np.maximum(a, b))
+                beta[:, j] = center + sd[j] * truncated_normal(a, np.maximum(a, b), u[:, i, j, 2])
         block.s = list(beta)
         return nd
 
@@ -292,20 +409,45 @@ class CT(LDA):
             scatter = np.array(got["c"]).reshape(k, k) - n * np.outer(self.prior_mean, self.prior_mean)
             self.prior_cov = (np.eye(k) + scatter) / (n - 1) + 1e-6 * np.eye(k)
 
-    def correlations(self) -> np.ndarray:
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Topics given the smoothed weights, and the weights given their normal prior."""
+        mean, precision = g["mean"], g["precision"]
+        x = np.stack([s if s is not None and len(s) else mean for s in block.s])
+        top = x.max(1, keepdims=True)
+        logs = x - top - np.log(np.exp(x - top).sum(1, keepdims=True))
+        n = block.counts(x.shape[1]) + g["alpha"]
+        topics = (logs * n - lgamma(n + 1)).sum(1) + lgamma(n.sum(1) + 1)
+        return topics + normal_lls(x, mean, precision)
+
+    def correlations(self, topic: int | None = None) -> np.ndarray:
+        if topic is not None:
+            return self.correlations()[topic]
         d = np.sqrt(np.diag(self.prior_cov))
         return self.prior_cov / np.outer(d, d)
 
 
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse normal distribution by bisection on erf: 40 halvings of [-8, 8]."""
-    erf = np.frompyfunc(math.erf, 1, 1)
-    low, high = np.full(p.shape, -8.0), np.full(p.shape, 8.0)
-    for _ in range(40):
-        mid = (low + high) / 2
-        less = 0.5 * (1 + erf(mid / math.sqrt(2)).astype(float)) < p
-        low, high = np.where(less, mid, low), np.where(less, high, mid)
-    return (low + high) / 2
+def normal_lls(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """By row, the log density of a multivariate normal distribution."""
+    off = x - mean
+    return (np.linalg.slogdet(precision)[1] - x.shape[1] * math.log(2 * math.pi) - ((off @ precision) * off).sum(1)) / 2
+
+
+#: The normal distribution below 0, on a grid that is interpolated.
+_GRID = np.linspace(-8.5, 0, 17_001)
+_BELOW = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in _GRID])
+
+
+def truncated_normal(a: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Standard normal variables between a and b (8 deviations at most), from uniforms u. Intervals
+    mostly above 0 are mirrored, so that tails keep their precision."""
+    flip = a + b > 0
+    low, high = np.where(flip, -b, a), np.where(flip, -a, b)
+    below = lambda x: np.where(x <= 0, np.interp(x, _GRID, _BELOW), 1 - np.interp(-x, _GRID, _BELOW))
+    p = below(low) + u * (below(high) - below(low))
+    x = np.where(p <= 0.5, np.interp(p, _BELOW, _GRID), -np.interp(1 - p, _BELOW, _GRID))
+    x = np.clip(x, low, high)
+    return np.where(flip, -x, x)
 
 
 class PT(LDA):
@@ -322,6 +464,9 @@ class PT(LDA):
     def state(self) -> dict:
         return {**super().state(), "pseudo": self.pseudo, "sizes": self.sizes, "lam": self.lam}
 
+    def attributes(self) -> dict[str, Column]:
+        return {"pseudo_doc": F.get("p", F.lit(0))}
+
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
         k, pseudo, sizes = len(g["alpha"]), g["pseudo"], g["sizes"]
@@ -335,15 +480,18 @@ class PT(LDA):
         nd = sample(block, g, sweep, lambda n, a: n + others[:a] + g["alpha"])
         if not block.new and (sweep % 10 == 0 or g.get("infer")):
             a, s = g["alpha"], g["alpha"].sum()
-            for i in range(len(at)):
-                base, docs = pseudo.copy(), sizes.copy()
-                if trained[i]:
-                    base[at[i]] = np.maximum(base[at[i]] - own[i], 0)
-                    docs[at[i]] -= 1
-                some = nd[i] > 0
-                n = base.sum(1)
-                logs = (lgamma(base[:, some] + nd[i, some] + a[some]) - lgamma(base[:, some] + a[some])).sum(1) - lgamma(n + nd[i].sum() + s) + lgamma(n + s) + np.log(np.maximum(docs, 0) + g["lam"])
-                at[i] = draw(np.exp(logs - logs.max())[None, :], u[i : i + 1])[0]
+            n, step = pseudo.sum(1), max(1, 2_000_000 // pseudo.size)
+
+            def gain(base: np.ndarray, size: np.ndarray, mine: np.ndarray) -> np.ndarray:
+                return (lgamma(base + mine + a) - lgamma(base + a)).sum(-1) - lgamma(size + mine.sum(-1) + s) + lgamma(size + s)
+
+            for i in range(0, len(at), step):  # some documents against all pseudo documents
+                part = slice(i, i + step)
+                logs = gain(pseudo[None], n[None], nd[part, None]) + np.log(np.maximum(sizes, 0) + g["lam"])
+                rest = np.maximum(pseudo[at[part]] - own[part], 0)  # the own one, without the document
+                here = gain(rest, rest.sum(1), nd[part]) + np.log(np.maximum(sizes[at[part]] - trained[part], 0) + g["lam"])
+                logs[np.arange(len(here)), at[part]] = here
+                at[part] = draw(np.exp(logs - logs.max(1, keepdims=True)), u[part])
         block.p = [[int(x)] for x in at]
         return nd
 
@@ -354,6 +502,20 @@ class PT(LDA):
         for r in self.rows.groupBy(F.get("p", F.lit(0)).alias("p")).agg(F.count("*").alias("c"), F.array(*each).alias("n")).toLocalIterator():  # at most p rows
             self.pseudo[r["p"]], self.sizes[r["p"]] = r["n"], r["c"]
 
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Documents have no part of their own: their pseudo documents have (state_ll)."""
+        return np.zeros(len(block.doc))
+
+    def state_ll(self) -> float:
+        """Documents in pseudo documents, topics in those, and words given topics."""
+        return float(dirichlet_lls(self.sizes, np.full(self.p, self.lam)) + dirichlet_lls(self.pseudo, self.alpha).sum()) + self.word_ll()
+
+    def pseudo_docs(self) -> DataFrame:
+        """(doc_id, pseudo_doc)."""
+        self._trained()
+        return self.rows.select("doc_id", F.get("p", F.lit(0)).alias("pseudo_doc"))
+
     def doc_topic_dist(self, from_pseudo_doc: bool = False) -> DataFrame:
         if not from_pseudo_doc:
             return super().doc_topic_dist()
@@ -396,6 +558,9 @@ class DT(LDA):
         e = np.exp(self.logits - self.logits.max(1, keepdims=True)) if self.v else self.logits
         return {**super().state(), "like": e / np.maximum(e.sum(1, keepdims=True), 1e-300), "alphas": self.alphas, "var": self.eta_var, "rate": self._rate()}
 
+    def attributes(self) -> dict[str, Column]:
+        return {"eta": F.col("s"), "timepoint": F.get("x", F.lit(0)).cast("int")}
+
     @staticmethod
     def kernel(block: Block, g: dict, sweep: int) -> np.ndarray:
         time = np.array([int(x[0]) for x in block.x])
@@ -430,13 +595,23 @@ class DT(LDA):
         if not self.v:
             return
         self._drift(self.n.reshape(self.v, self.t, self.k).transpose(1, 0, 2), self._rate())
-        got = self.rows.groupBy(F.get("x", F.lit(0)).cast("int").alias("t")).agg(F.array(*[F.avg(F.get("s", F.lit(i))) for i in range(self.k)]).alias("m")).collect()  # a row for each time point
-        for r in got:
-            self.alphas[r["t"]] = r["m"]
-        if self.t > 1:
-            smooth = self.alphas.copy()
-            smooth[1:-1] = (self.alphas[:-2] + 2 * self.alphas[1:-1] + self.alphas[2:]) / 4
-            self.alphas = smooth
+        self._priors()
+
+    def _priors(self) -> None:
+        """Draw the document prior of each point of time, given its documents' weights and the priors
+        before and after: a normal distribution. The first point's own prior is wide."""
+        got = self.rows.groupBy(F.get("x", F.lit(0)).cast("int").alias("t")).agg(F.count("*").alias("c"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(self.k)]).alias("m")).collect()  # a row for each time point
+        noise = np.random.Generator(np.random.Philox(key=[self.seed, self.global_step + 2**32])).standard_normal((self.t, self.k))
+        of = {r["t"]: (r["c"], np.array(r["m"])) for r in got}
+        for t in range(self.t):
+            count, total = of.get(t, (0, np.zeros(self.k)))
+            weight, pull = count / self.eta_var, total / self.eta_var
+            if t == 0:
+                weight = weight + 1 / (10 * self.alpha_var)
+            for near in (t - 1, t + 1):
+                if 0 <= near < self.t:
+                    weight, pull = weight + 1 / self.alpha_var, pull + self.alphas[near] / self.alpha_var
+            self.alphas[t] = pull / weight + noise[t] / math.sqrt(weight)
 
     def _drift(self, n: np.ndarray, rate: float) -> None:
         """Langevin steps of the topic word weights, given the counts n [time, word, topic]."""
@@ -472,5 +647,63 @@ class DT(LDA):
         z = self.rows.select(F.get("x", F.lit(0)).cast("int").alias("t"), F.explode("z").alias("z"))
         return z.groupBy((F.col("z") + self.k * F.col("t")).alias("topic")).agg(F.count("*").alias("n"))
 
-    def doc_ll(self) -> float:
-        return 0.0
+    @property
+    def topic_array(self):
+        k = self.k
+        return lambda block: block.z + k * np.array([int(x[0]) for x in block.x])[:, None]
+
+    def get_alpha(self, timepoint: int) -> np.ndarray:
+        """Topic shares that documents of a point of time have on average: softmax of its prior."""
+        e = np.exp(self.alphas[timepoint] - self.alphas[timepoint].max())
+        return e / e.sum()
+
+    def get_phi(self, topic: int, timepoint: int) -> np.ndarray:
+        """[words]: the drifting word shares of a topic at a point of time."""
+        x = self.logits[timepoint, :, topic]
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def topic_words_at(self, topic: int, timepoint: int, top_n: int = 10) -> list[tuple[str, float]]:
+        words = self.topic_words(top_n).where(F.col("topic") == topic + self.k * timepoint).orderBy("rank_no").collect()
+        return [(r["word"], r["p"]) for r in words]
+
+    @staticmethod
+    def doc_lls(block: Block, g: dict) -> np.ndarray:
+        """Topics given the document's weights, and those given the prior of its point of time."""
+        mean = g["alphas"][np.array([int(x[0]) for x in block.x])]
+        eta = np.stack([s if s is not None and len(s) else m for s, m in zip(block.s, mean)])
+        top = eta.max(1, keepdims=True)
+        logs = eta - top - np.log(np.exp(eta - top).sum(1, keepdims=True))
+        k = eta.shape[1]
+        return (block.counts(k) * logs).sum(1) - ((eta - mean) ** 2).sum(1) / (2 * g["var"]) - k / 2 * math.log(2 * math.pi * g["var"])
+
+    def state_ll(self) -> float:
+        """Words given the drifting weights, and the drift of those and of the priors."""
+        if not self.v:
+            return 0.0
+        top = self.logits.max(1, keepdims=True)
+        logs = self.logits - top - np.log(np.exp(self.logits - top).sum(1, keepdims=True))
+        n = self.n.reshape(self.v, self.t, self.k).transpose(1, 0, 2)
+
+        def drift(x: np.ndarray, var: float) -> float:
+            moves = np.diff(x, axis=0)
+            return float(-(moves**2).sum() / (2 * var) - moves.size / 2 * math.log(2 * math.pi * var))
+
+        return float((n * logs).sum()) + drift(self.logits, self.phi_var) + drift(self.alphas, self.alpha_var)
+
+    def _gains(self, rows: DataFrame, extra: dict) -> DataFrame:
+        """(doc_id, ll): own part, and the words given the drifting weights."""
+        f, g = type(self).doc_lls, self.spark.sparkContext.broadcast({**self.state(), **extra})
+
+        def run(batches):
+            import pyarrow as pa
+
+            from topicloom.models.base import _blocks
+
+            for batch in batches:
+                for block in _blocks(batch):
+                    time = np.array([int(x[0]) for x in block.x])[:, None]
+                    logs = np.log(np.maximum(g.value["like"][time, block.w, block.z], 1e-300)) * block.weight
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(f(block, g.value) + np.where(block.inside, logs, 0).sum(1))], ["doc_id", "ll"])
+
+        return rows.mapInArrow(run, "doc_id long, ll double")

@@ -159,3 +159,32 @@ def _indirect(prob: Probabilities, segmentation: str, direct: str, indirect: str
         "jaccard": zipped(lambda p, q: F.least(p, q)) / zipped(lambda p, q: F.greatest(p, q)),
     }
     return chosen.groupBy("topic").agg(F.avg(forms[indirect]).alias("score"))
+
+
+class Coherence:
+    """Coherence of the topics of a model, or of given words, over documents(doc_id, words)."""
+
+    def __init__(self, docs: DataFrame, measure: str | tuple = "u_mass", *, model=None, window_size: int = 0, top_n: int = 10, eps: float = 1e-12, gamma: float = 1.0) -> None:
+        self.docs, self.measure, self.model, self.top_n = docs.select("doc_id", "words"), measure, model, top_n
+        self.options = {"window_size": window_size, "eps": eps, "gamma": gamma}
+
+    def scores(self) -> DataFrame:
+        """(topic, score) of all topics of the model; a topic of a model with time points is that of
+        one point."""
+        return coherence(self.model.topic_words(self.top_n).select("topic", "rank_no", "word"), self.docs, self.measure, **self.options)
+
+    def get_score(self, words: list[str] | None = None, topic_id: int | None = None, timepoint: int | None = None) -> float:
+        """The score of the words; of a topic of the model, at a point of time if it has those; or the
+        mean of all topics."""
+        spark = self.docs.sparkSession
+        if words is not None:
+            top = spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(words)], "topic int, rank_no int, word string")
+        elif topic_id is None and timepoint is None:
+            return float(self.scores().agg(F.avg("score")).first()[0])
+        else:
+            timed = hasattr(self.model, "docs_by_timepoint")
+            if timed != (timepoint is not None) or topic_id is None:
+                raise ValueError("give topic_id, and timepoint if the model has points of time")
+            wanted = topic_id + self.model.k * timepoint if timed else topic_id
+            top = self.model.topic_words(self.top_n).where(F.col("topic") == wanted).select("topic", "rank_no", "word")
+        return float(coherence(top, self.docs, self.measure, **self.options).agg(F.avg("score")).first()[0])

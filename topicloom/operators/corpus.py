@@ -1,16 +1,19 @@
 """From documents to tokens, vocabulary, encoded tokens and weights.
 
-Tables: docs(doc_id bigint, text string, ...), tokens(doc_id, pos, word) and
-vocab(word, cf, df, first_at, used, removed, wid). A null word is a hole: a stop word whose place
-is kept.
+Tables: docs(doc_id bigint, text string, ...), word_docs(doc_id, words array<string>, ...),
+tokens(doc_id, pos, word) and vocab(word, cf, df, first_at, used, removed, wid). A null word is a
+hole: a stop word whose place is kept. What concerns one document is done inside its row, on whole
+Arrow batches, so that only sums by word are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +51,51 @@ def word_tokens(docs: DataFrame, *, id_col: str = "doc_id", words_col: str = "wo
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words_col).alias("pos", "word"))
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """(doc_id, pos, start, len) of the tokens, in characters. Gaps and tokens alternate, so a token
-    starts behind the gaps up to it and the tokens before it."""
+class Rows:
+    """A batch of lists as flat values: of each value its row and its place in the row."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.values = lists.flatten()
+        self.size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.row)) - self.start[self.row]
+
+    def running(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the values of a row up to each place."""
+        c = np.cumsum(values)
+        return c - np.r_[0, c][self.start[self.row]]
+
+    def lists(self, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(self.size)].astype(np.int32)), values)
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (doc_id, words, len, gap, ...) -> (doc_id, words, start, len, ...)."""
+    for batch in batches:
+        length, gap = Rows(batch.column(2)), Rows(batch.column(3))
+        n = length.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        ahead = gap.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), length.lists(pa.array((length.running(ahead + n) - n).astype(np.int32))), batch.column(2), *batch.columns[4:]], ["doc_id", "words", "start", "len", *batch.schema.names[4:]])
+
+
+def span_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN, lowercase: bool = True, keep: str | None = None) -> DataFrame:
+    """(doc_id, words, start, len), a list each, and the string column keep: the tokens of each text that isn't null and their
+    places in characters. Gaps and tokens alternate, so a token starts behind the gaps up to it and
+    the tokens before it: one pass over the row, no shuffle."""
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pieces = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(F.transform(found, F.length).alias("len"), F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"))).alias("pos", "p"))
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.col("p.gap") + F.col("p.len")).over(ahead) - F.col("p.len")
-    return pieces.select("doc_id", "pos", start.cast("int").alias("start"), F.col("p.len").alias("len"))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+    words = F.transform(found, F.lower) if lowercase else found
+    pieces = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), words.alias("words"), F.transform(found, F.length).alias("len"), gaps.alias("gap"), *([keep] if keep else []))
+    kind = dict(docs.dtypes)[id_col]
+    return pieces.mapInArrow(_starts, f"doc_id {kind}, words array<string>, start array<int>, len array<int>" + (f", `{keep}` string" if keep else ""))
+
+
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """(doc_id, pos, start, len) of the tokens, in characters."""
+    made = span_lists(docs, id_col=id_col, text_col=text_col, pattern=pattern)
+    return made.select("doc_id", F.posexplode(F.arrays_zip("start", "len")).alias("pos", "p")).select("doc_id", "pos", "p.start", "p.len")
 
 
 class SimpleTokenizer:
@@ -80,10 +118,19 @@ class SimpleTokenizer:
         found = regex.findall(self.pattern, phrase.lower() if self.lowercase else phrase)
         return tuple(self.stemmer(w) if self.stemmer else w for w in found)
 
+    def lists(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, words, start, len), a list each. Without stemmer and phrases inside the row."""
+        if not self.stemmer and not self.phrases:
+            return span_lists(docs, id_col=id_col, text_col=text_col, pattern=self.pattern, lowercase=self.lowercase)
+        made = self.tokens(docs, id_col=id_col, text_col=text_col)
+        packed = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start", "len"))).alias("t"))
+        return packed.select("doc_id", F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: x["start"]).alias("start"), F.transform("t", lambda x: x["len"]).alias("len"))
+
     def tokens(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, pos, word, start, len)."""
-        words = tokens(docs, id_col=id_col, text_col=text_col, pattern=self.pattern, lowercase=self.lowercase)
-        out = words.join(spans(docs, id_col=id_col, text_col=text_col, pattern=self.pattern), ["doc_id", "pos"])
+        made = span_lists(docs, id_col=id_col, text_col=text_col, pattern=self.pattern, lowercase=self.lowercase)
+        zipped = F.arrays_zip(F.col("words").alias("word"), "start", "len")
+        out = made.select("doc_id", F.posexplode(zipped).alias("pos", "t")).select("doc_id", "pos", "t.word", "t.start", "t.len")
         if self.stemmer:
             out = apply_to_words(out, self.stemmer)
         if self.phrases:
@@ -172,20 +219,45 @@ def without_stopwords(tokens_: DataFrame, stop: DataFrame | Iterable[str] | Call
 
 
 def cf_df(tokens_: DataFrame) -> DataFrame:
-    """(word, cf, df, first_at): occurrences, documents, and the place of the first occurrence.
-    Counts a document's words first, so no set of documents is held and hot words are combined
-    before the shuffle by word."""
+    """(word, cf, df, first_at): occurrences, documents, and the place of the first occurrence, of
+    tokens that stand in rows of their own. Documents given as lists are counted by count_words."""
     at = (F.col("doc_id") * POSITIONS + F.col("pos")).alias("at")
     per_doc = tokens_.where("word is not null").select("doc_id", "word", at).groupBy("doc_id", "word").agg(F.count("*").alias("c"), F.min("at").alias("at"))
     return per_doc.groupBy("word").agg(F.sum("c").alias("cf"), F.count("*").alias("df"), F.min("at").alias("first_at"))
 
 
-def vocabulary(tokens_: DataFrame, *, min_cf: int = 0, min_df: int = 0, rm_top: int = 0) -> DataFrame:
-    """(word, cf, df, first_at, used, removed, wid). Words that pass min_cf and min_df come first, by
-    falling cf and df, ties in order of first occurrence; the first rm_top words of all are removed.
-    Used words have wid 0, 1, ... in that order; all other words have no wid."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (doc_id, words) -> (word, cf, df, first_at) of the batch."""
+    for batch in batches:
+        rows = Rows(batch.column(1))
+        coded = rows.values.dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        order = order[code[order] >= 0]  # by word, documents and places still in order
+        if not len(order):
+            continue
+        c, row = code[order], rows.row[order]
+        new = np.r_[True, c[1:] != c[:-1]]
+        first = np.flatnonzero(new)
+        at = batch.column(0).to_numpy(zero_copy_only=False)[row] * POSITIONS + rows.place[order]
+        in_doc = np.add.reduceat((new | np.r_[True, row[1:] != row[:-1]]).astype(np.int64), first)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(c[first])), pa.array(np.diff(np.r_[first, len(c)])), pa.array(in_doc), pa.array(np.minimum.reduceat(at, first))], ["word", "cf", "df", "first_at"])
+
+
+def count_words(word_docs: DataFrame) -> DataFrame:
+    """(word, cf, df, first_at) of documents given as lists, one row each: counted within each batch
+    of documents, then summed by word, which is the only shuffle."""
+    partial = word_docs.select("doc_id", "words").mapInArrow(_word_counts, "word string, cf long, df long, first_at long")
+    return partial.groupBy("word").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"), F.min("first_at").alias("first_at"))
+
+
+def vocabulary(source: DataFrame, *, min_cf: int = 0, min_df: int = 0, rm_top: int = 0) -> DataFrame:
+    """(word, cf, df, first_at, used, removed, wid) of tokens(doc_id, pos, word) or of
+    word_docs(doc_id, words). Words that pass min_cf and min_df come first, by falling cf and df, ties
+    in order of first occurrence; the first rm_top words of all are removed. Used words have wid 0, 1,
+    ... in that order; all other words have no wid."""
     passes = (F.col("cf") >= min_cf) & (F.col("df") >= min_df)
-    counted = cf_df(tokens_).withColumn("_pass", passes)
+    counted = (count_words if "words" in source.columns else cf_df)(source).withColumn("_pass", passes)
     n = numbered(counted, F.desc("_pass"), F.desc("cf"), F.desc("df"), F.asc("first_at"))
     used = F.col("_pass") & (F.col("rn") > rm_top)
     return n.select("word", "cf", "df", "first_at", used.alias("used"), (F.col("rn") <= rm_top).alias("removed"), F.when(used, F.col("rn") - rm_top - 1).cast("int").alias("wid"))
@@ -265,11 +337,25 @@ def concat_corpora(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved, allowMissingColumns=True)
 
 
-def split_sentences(tokens_: DataFrame, delimiter: str) -> DataFrame:
-    """tokens with sent, the number of delimiter tokens before; delimiters are dropped."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sent = F.sum((F.col("word") == delimiter).cast("int")).over(before)
-    return tokens_.withColumn("sent", sent.cast("int")).where(F.col("word") != delimiter)
+def _sentence_numbers(delimiter: str):
+    """mapInArrow function: (doc_id, words) -> (doc_id, words, sent), sent a list like words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows(batch.column(1))
+            ends = pc.fill_null(pc.equal(rows.values, delimiter), False).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows.lists(rows.values), rows.lists(pa.array(rows.running(ends).astype(np.int32)))], ["doc_id", "words", "sent"])
+
+    return run
+
+
+def split_sentences(word_docs: DataFrame, delimiter: str) -> DataFrame:
+    """(doc_id, pos, word, sent) of word_docs(doc_id, words): sent is the number of delimiter tokens
+    before; delimiters and holes are dropped. Counted inside the row."""
+    kind = dict(word_docs.dtypes)["doc_id"]
+    made = word_docs.select("doc_id", "words").mapInArrow(_sentence_numbers(delimiter), f"doc_id {kind}, words array<string>, sent array<int>")
+    each = made.select("doc_id", F.posexplode(F.arrays_zip(F.col("words").alias("word"), "sent")).alias("pos", "t"))
+    return each.select("doc_id", "pos", "t.word", "t.sent").where(F.col("word") != delimiter)
 
 
 def word_forms(docs: DataFrame, vocab: DataFrame, *, text_col: str = "text") -> DataFrame:

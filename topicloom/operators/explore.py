@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +75,26 @@ def density_interval(alpha: list[float], share: float = 0.95, samples: int = 163
         i = int(np.where(holds, width, np.inf).argmin())
         out.append((float(d[i]), float(d[i + inside])))
     return out
+
+
+def topic_html(docs: DataFrame, *, text_col: str = "raw") -> DataFrame:
+    """(doc_id, html): each text with a span of class topic-k around the tokens that have a topic.
+    docs(doc_id, text, start, len, topic): lists of token spans in characters, in order, and of the
+    tokens' topics, null or negative for none. Everything else is escaped."""
+
+    def marked(text: str, start: list[int], size: list[int], topic: list[int | None]) -> str:
+        out, at = [], 0
+        for a, n, k in zip(start, size, topic):
+            out.append(html.escape(text[at:a]))
+            word = html.escape(text[a : a + n])
+            out.append(word if k is None or k < 0 else f'<span class="topic-{k}">{word}</span>')
+            at = a + n
+        return "".join([*out, html.escape(text[at:])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(1, 5)))
+            made = [marked(t, s or [], n or [], k or []) if t is not None else None for t, s, n, k in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "html"])
+
+    return docs.select("doc_id", text_col, "start", "len", F.col("topic").cast("array<int>")).mapInArrow(run, "doc_id long, html string")

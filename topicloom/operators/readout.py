@@ -116,15 +116,13 @@ def jacobi_sweep(assigned: DataFrame, vocab: DataFrame, k: int, alpha: float, et
     totals = assigned.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("z") == i, F.col("w"))), F.lit(0.0)) for i in range(k)]).alias("nk"))
     base = assigned if allowed is None else assigned.withColumn("_ok", allowed)
     t = base.join(doc_arrays(assigned, k).withColumnRenamed("n", "nd"), "doc_id").join(word_arrays(assigned, k).withColumnRenamed("n", "nw"), "wid").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(v))
-    own = [F.when(F.col("z") == i, F.col("w")).otherwise(0.0) for i in range(k)]
-    e = lambda c, i: F.element_at(c, i + 1)
-    p = [(e("nd", i) - own[i] + alpha) * (e("nw", i) - own[i] + eta) / (e("nk", i) - own[i] + F.col("v") * eta) for i in range(k)]
+    zs = F.sequence(F.lit(0), F.lit(k - 1))
+    own = lambda i: F.when(F.col("z") == i, F.col("w")).otherwise(0.0)
+    p = F.transform(zs, lambda i: (F.get("nd", i) - own(i) + alpha) * (F.get("nw", i) - own(i) + eta) / (F.get("nk", i) - own(i) + F.col("v") * eta))
     if allowed is not None:
-        p = [F.element_at("_ok", i + 1).cast("double") * x for i, x in enumerate(p)]
-    t = t.withColumn("_p", F.array(*p))
-    cum = [F.element_at("_p", 1)]
-    for i in range(1, k):
-        cum.append(cum[-1] + F.element_at("_p", i + 1))
-    t = t.withColumn("_c", F.array(*cum)).withColumn("_u", uniform(seed) * F.element_at("_c", k))
-    z = F.array_position(F.transform("_c", lambda c: c > F.col("_u")), True) - 1
-    return t.withColumn("z", z.cast("int")).select(*assigned.columns)
+        p = F.zip_with(p, "_ok", lambda x, ok: x * ok.cast("double"))
+    # a running sum and, when it first passes the bound, the topic: one pass over the array each
+    t = t.withColumn("_p", p).withColumn("_u", uniform(seed) * F.aggregate("_p", F.lit(0.0), lambda s, x: s + x))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("z"))
+    passed = F.aggregate("_p", none, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["z"] + (s["sum"] + x <= F.col("_u")).cast("int")).alias("z")))
+    return t.withColumn("z", F.least(passed["z"], F.lit(k - 1)).cast("int")).select(*assigned.columns)

@@ -57,7 +57,7 @@ def word_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.vocabulary(toks(spark, d), min_df=MIN_DF, rm_top=RM_TOP)
+    return corpus.vocabulary(word_docs(spark, d), min_df=MIN_DF, rm_top=RM_TOP)
 
 
 def assigned(spark: SparkSession, d: str, v: DataFrame, k: int = K) -> DataFrame:
@@ -123,7 +123,7 @@ def tok_stopword_holes(spark, d):
 
 @query("word:string cf:bigint df:bigint first_at:bigint", f"with {VOC} select * from voc0")
 def vocab_cf_df(spark, d):
-    return corpus.cf_df(toks(spark, d))
+    return corpus.count_words(word_docs(spark, d))
 
 
 @query("word:string wid:int cf:bigint df:bigint", f"with {VOC} select word, wid, cf, df from voc where used")
@@ -216,7 +216,7 @@ def vocab_remap_oov(spark, d):
 
 @query("doc_id:bigint pos:int word:string sent:int", f"with {TOK}, s as (select *, sum((word = 'and')::int) over (partition by doc_id order by pos) as sent from tok) select doc_id, pos, word, sent from s where word <> 'and'")
 def sentence_split(spark, d):
-    return corpus.split_sentences(toks(spark, d), "and")
+    return corpus.split_sentences(word_docs(spark, d), "and")
 
 
 @query("doc_id:bigint words:string[]", f"with {WD} select doc_id, words from wd")
@@ -590,17 +590,6 @@ def export_top1_topic(spark, d):
 
 # --- model formulas ---------------------------------------------------------------------------------
 
-_MD = "md as (select metadata, row_number() over (order by metadata) - 1 as f from (select distinct metadata from tmdocs where metadata is not null))"
-
-
-@query("metadata:string z:int alpha:double", f"with {_MD} select metadata, z, exp(0.1::double * ((f * 3 + z * 7) % 11) - 0.5::double + 0.05::double * z) + 1e-10::double as alpha from md, (select unnest(range(4)) as z)")
-def dmr_alpha_by_metadata(spark, d):
-    from topicloom.models.metadata import alpha_by_metadata, feature_ids
-
-    feats = feature_ids(table(spark, d, "tmdocs"), "metadata")
-    lam = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.lit(0.1) * ((F.col("f") * 3 + z * 7) % 11) - 0.5 + F.lit(0.05) * z)
-    return alpha_by_metadata(feats.withColumn("terms", lam), 1e-10)
-
 
 def _leg(x: str, n: int) -> str:
     return " + ".join(f"({(-1) ** (n + j) * math.comb(n, j) * math.comb(n + j, j)}::double * {x} ** {j})" for j in range(n + 1))
@@ -620,44 +609,3 @@ def gdmr_tdf_grid(spark, d):
 
     lam = [[0.3 * z - 0.4, 0.5 - 0.2 * z, 0.1 * z] for z in range(4)]
     return tdf_grid(spark, lam, [2], [(0.0, 1.0)], [11]).select(F.col("x")[0].alias("x"), "z", "p")
-
-
-@query("i:int j:int s:double", f"with {THETA}, y as (select doc_id, theta.z, theta.p from theta) select a.z as i, b.z as j, sum(a.p * b.p) as s from y a join y b on a.doc_id = b.doc_id group by a.z, b.z")
-def slda_gram_matrix(spark, d):
-    from topicloom.models.regression import gram_matrix
-
-    return gram_matrix(theta(spark, d), K)
-
-
-@query("doc_id:bigint z2:int p:double", f"""with {ASG}, s as (select doc_id, z as z1, (wid + pos) % 4 as z2 from asg), c as (select doc_id, z1, z2, count(*) as n from s group by all), ids as (select distinct doc_id from s), g as (select ids.doc_id, a.z1, b.z2 from ids, (select unnest(range({K})) as z1) a, (select unnest(range(4)) as z2) b),
- f as (select g.doc_id, g.z2, sum(coalesce(c.n, 0) + 0.1373::double) as v from g left join c on c.doc_id = g.doc_id and c.z1 = g.z1 and c.z2 = g.z2 group by g.doc_id, g.z2) select doc_id, z2, v / sum(v) over (partition by doc_id) as p from f""")
-def pa_sub_topic_dist(spark, d):
-    a, _ = read(spark, d)
-    z2 = F.pmod(F.col("wid") + F.col("pos"), F.lit(4)).cast("int")
-    n = a.withColumn("z2", z2).groupBy("doc_id").agg(F.array(*[F.sum((F.col("z2") == i).cast("double")) + K * 0.1373 for i in range(4)]).alias("n"))
-    total = F.aggregate("n", F.lit(0.0), lambda s, x: s + x)
-    return n.select("doc_id", F.posexplode(F.transform("n", lambda x: x / total)).alias("z2", "p"))
-
-
-@query("level:int topic:int n:bigint", f"with {ASG}, s as (select (wid + pos) % 3 as level, z, (wid * 3 + pos) % 4 as z2 from asg) select level, case level when 0 then 0 when 1 then 1 + z else 1 + {K} + z2 end as topic, count(*) as n from s group by all")
-def hpa_level_counts(spark, d):
-    a, _ = read(spark, d)
-    level, z2 = F.pmod(F.col("wid") + F.col("pos"), F.lit(3)), F.pmod(F.col("wid") * 3 + F.col("pos"), F.lit(4))
-    topic = F.when(level == 0, 0).when(level == 1, 1 + F.col("z")).otherwise(1 + K + z2)
-    return a.select(level.alias("level"), topic.alias("topic")).groupBy("level", "topic").agg(F.count("*").alias("n"))
-
-
-@query("timepoint:int z:int n:bigint docs:bigint", f"with {ASG}, t as (select doc_id, doc_id % 13 as timepoint, z from asg) select timepoint, z, count(*) as n, (select count(distinct doc_id) from t u where u.timepoint = t.timepoint) as docs from t group by timepoint, z")
-def dt_counts_by_time(spark, d):
-    a, _ = read(spark, d)
-    t = a.select("doc_id", F.pmod("doc_id", F.lit(13)).alias("timepoint"), "z")
-    docs_of = t.groupBy("timepoint").agg(F.countDistinct("doc_id").alias("docs"))
-    return t.groupBy("timepoint", "z").agg(F.count("*").alias("n")).join(docs_of, "timepoint")
-
-
-@query("i:int j:int mean:double cov:double corr:double", f"with {THETA}, t as (select doc_id, z, ln(p) as x from theta) select a.z as i, b.z as j, avg(a.x) as mean, covar_samp(a.x, b.x) as cov, covar_samp(a.x, b.x) / sqrt(var_samp(a.x) * var_samp(b.x)) as corr from t a join t b on a.doc_id = b.doc_id group by a.z, b.z")
-def ct_moments(spark, d):
-    x = theta(spark, d).select("doc_id", "z", F.log("p").alias("x"))
-    wide = x.groupBy("doc_id").agg(*[F.max(F.when(F.col("z") == i, F.col("x"))).alias(f"x{i}") for i in range(K)])
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.avg(f"x{i}").alias("mean"), F.covar_samp(f"x{i}", f"x{j}").alias("cov"), F.corr(f"x{i}", f"x{j}").alias("corr")) for i in range(K) for j in range(K)]
-    return wide.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
