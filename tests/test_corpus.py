@@ -90,7 +90,7 @@ def test_longer_ngrams_and_short_documents(spark):
 
 
 def test_sentences_uids_and_concatenation(spark):
-    t = corpus.word_tokens(words(spark, ["a", ".", "b", "c", ".", "d"]))
+    t = words(spark, ["a", ".", "b", "c", None, ".", "d"])
     assert [(r.word, r.sent) for r in corpus.split_sentences(t, ".").orderBy("pos").collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     uid = spark.createDataFrame([("1",), ("1",), ("",), (None,), (None,), ("2",)], "uid string")
     assert {r.uid for r in corpus.uid_duplicates(uid).collect()} == {"1", ""}
@@ -106,3 +106,64 @@ def test_count_words_by_weight(spark):
     assert round(idf["a"], 6) == 0.693147 and idf["b"] == 0
     assert corpus.count_vectors(e.withColumn("w", F.lit(1.0))).where("n = 2").count() == 1
     assert corpus.encode(corpus.word_tokens(words(spark, ["zzz"])), v).count() == 0
+
+
+def random_lists(n=60, seed=1):
+    rng = random.Random(seed)
+    return [[rng.choice(["a", "b", "c", "d", None]) for _ in range(rng.randrange(0, 14))] for _ in range(n)] + [[], ["a"]]
+
+
+def test_counts_inside_rows_equal_counts_of_tokens(spark):
+    rows = words(spark, *random_lists())
+    both = [{tuple(r) for r in f.select("word", "cf", "df", "first_at").collect()} for f in (corpus.count_words(rows), corpus.cf_df(corpus.word_tokens(rows)))]
+    assert both[0] == both[1] and corpus.count_words(rows.limit(0)).count() == 0
+
+
+def test_phrases_are_found_and_merged_like_one_by_one(spark):
+    lists = random_lists(seed=2)
+    rows = words(spark, *lists)
+    phrases = [("a", "b"), ("a", "b", "c"), ("b", "c"), ("d", "d"), ("c",), ("x", "a")]
+    want = {(i, j, p) for i, w in enumerate(lists) for p in phrases for j in range(len(w) - len(p) + 1) if tuple(w[j : j + len(p)]) == p}
+    cand = spark.createDataFrame([(list(p),) for p in phrases], "words array<string>")
+    assert {(r.doc_id, r.pos, tuple(r.words)) for r in ngrams.find_phrases(rows, cand).collect()} == want
+    long = [p for p in phrases if len(p) > 1]
+    merged = {r.doc_id: r.words for r in ngrams.Phraser(long)(rows).collect()}
+    slow = corpus.word_documents(corpus.merge_phrases(corpus.word_tokens(rows), long))
+    for r in slow.collect():
+        assert merged[r.doc_id] == r.words, lists[r.doc_id]
+    assert merged[len(lists) - 2] == [] and ngrams.find_phrases(rows, cand.limit(0)).count() == 0
+
+
+def test_phrasers_are_saved(spark, tmp_path):
+    p = ngrams.Phraser([("a", "b")], "+")
+    p.save(str(tmp_path / "p"), spark)
+    again = ngrams.Phraser.load(spark, str(tmp_path / "p"))
+    assert again(words(spark, ["a", "b", "a"])).first().words == ["a+b", "a"] and again.find_all(words(spark, ["a", "b"])).count() == 1
+
+
+def test_ngrams_and_labels_with_and_without_broadcast(spark, monkeypatch):
+    from topicloom.operators import labeling
+
+    lists = [[w or "e" for w in x] for x in random_lists(120, 3)]
+    rows = words(spark, *lists)
+    key = lambda df: sorted((tuple(r.words), r.cf) for r in df.collect())
+    grams = ngrams.ngrams(rows, min_cf=3, min_df=2, max_len=4)
+    cands = ngrams.bigrams(rows, min_cf=3, min_df=2).select(F.array("w1", "w2").alias("words"))
+    dist = spark.createDataFrame([(z, i, w, 0.1 + 0.05 * ((i + z) % 3)) for z in range(2) for i, w in enumerate("abcde")], "z int, wid int, word string, p double")
+    label = lambda: {(r.topic, r.label): round(r.score, 9) for r in labeling.topic_labels(dist, cands, rows, k=2, min_df=2).collect()}
+    fast = key(grams), label()
+    monkeypatch.setattr(ngrams, "MAX_LISTED", 0)
+    monkeypatch.setattr(labeling, "MAX_DIST", 0)
+    assert fast[0] and fast == (key(ngrams.ngrams(rows, min_cf=3, min_df=2, max_len=4)), label())
+
+
+def test_names_and_html(spark):
+    from topicloom.operators import explore, labeling
+
+    t = texts(spark, "Deep learning, deep  Learning & Deep learning", "deep-learning", None)
+    cand = spark.createDataFrame([(["deep", "learning"], 4)], "words array<string>, cf int")
+    named = labeling.named_candidates(cand, labeling.surface_forms(t, cand)).first()
+    assert named.name == "Deep learning" and set(named.names) == {"Deep learning", "deep  Learning"}
+    rows = spark.createDataFrame([(1, "a <b> & c", [0, 3], [1, 1], [2, None]), (2, None, None, None, None)], "doc_id long, raw string, start array<int>, len array<int>, topic array<int>")
+    got = {r.doc_id: r.html for r in explore.topic_html(rows).collect()}
+    assert got == {1: '<span class="topic-2">a</span> &lt;b&gt; &amp; c', 2: None}

@@ -17,7 +17,7 @@ def test_special_functions(spark):
         assert abs(r.d - (digamma(np.array([r.n + 0.1])) - digamma(np.array([0.1])))[0]) < 1e-8 * max(1, r.d)
     p = df.limit(1).select(*[legendre(F.lit(0.3), n).alias(str(n)) for n in range(4)]).first()
     assert np.allclose(p, [legendre_values(np.array(0.3), n) for n in range(4)])
-    best = lbfgs(lambda v: (float(((v - 3) ** 2).sum()), 2 * (v - 3)), np.zeros(4), steps=20)
+    best = lbfgs(lambda vs: [(float(((v - 3) ** 2).sum()), 2 * (v - 3)) for v in vs], [np.zeros(4), np.ones(4)], steps=20)
     assert np.allclose(best, 3, atol=1e-4)
 
 

@@ -290,7 +290,8 @@ def bigram_pmi_be(spark, d):
 @query("doc_id:bigint pos:int word:string", "")
 def phrase_concat(spark, d):
     found = ngrams.extract_ngrams(word_docs(spark, d), max_len=3, max_cand=corpus.MAX_PHRASES + 1, min_score=0.5, normalized=True)
-    return corpus.merge_phrases(toks(spark, d), corpus.listed_phrases(found))
+    merged = ngrams.Phraser(corpus.listed_phrases(found))(word_docs(spark, d))
+    return corpus.word_tokens(merged)
 
 
 # --- read-outs --------------------------------------------------------------------------------------
