@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.hashing import mix
-from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, small, word_list, written
+from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, small, word_sets, written
+from topicloom.sources.tables import dropped
 
 #: A pair at the threshold shares no band with this probability at most; as many bands as that takes, up to MAX_BANDS.
 MISS, MAX_BANDS = 2e-5, 64
@@ -297,10 +298,6 @@ def _met(least: float):
     return run
 
 
-def _sorted_words(words):
-    return F.array_sort(F.array_distinct(word_list(words)))
-
-
 class NearDuplicates:
     """The similarity join of the records of docs: pairs of different texts, and classes of copies.
 
@@ -325,8 +322,8 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", words_col: str = "words", order_col: str | None = "added_at", least: float = 0.8, min_words: int = 12) -> None:
         self.spark, self.least = docs.sparkSession, least
-        one = one_delivery(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, _sorted_words(F.col(words_col)), order_col)
-        sets = one.where(F.size("payload") >= max(min_words, 1)).select(F.col(id_col).alias("id"), F.col("payload").alias("words"), F.xxhash64("payload").alias("h1"), F.xxhash64(F.lit(1), "payload").alias("h2"))
+        one = one_delivery(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, F.col(words_col), order_col)
+        sets = word_sets(one, min_words).select(F.col(id_col).alias("id"), "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
         self.sets = written(sets, "sets")
         shared = self.sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
         #: (h1, h2, rep, copies) of classes of more than one record; the smallest id stands for all.
@@ -358,9 +355,10 @@ class NearDuplicates:
         return packed.repartitionById(parts, F.col("part")).mapInArrow(_met(self.least), "a long, b long").distinct()
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, jaccard) of the pairs that are similar. Only word lists of candidates are moved."""
+        """(a, b, jaccard) of the pairs that are similar, by all their words, of which 64-bit hashes are
+        compared. Only the words of candidates are moved."""
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-        asked = self.classes.select("id", "words").join(small(ends), "id", "left_semi")
+        asked = self.classes.join(small(ends), "id", "left_semi").select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
         a, b = (asked.select(F.col("id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
         both = F.size(F.array_intersect("wa", "wb"))
         jaccard = both / (F.size("wa") + F.size("wb") - both)
@@ -394,7 +392,7 @@ class NearDuplicates:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node connected with each node of links(a, b). Rounds of taking the
     smallest label among neighbours and then the label's label, each written to the shared folder,
-    until nothing changes."""
+    until nothing changes; the tables of the round before are deleted."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "label")
     while True:
@@ -402,6 +400,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = label.join(nearby, "node").select("node", F.least("label", "nearby").alias("new"), F.col("label").alias("old"))
         jump = label.select(F.col("node").alias("new"), F.col("label").alias("far"))
         after = written(lower.join(jump, "new", "left").select("node", F.least("new", "far").alias("label"), "old"), "label")
-        label = after.select("node", "label")
+        before, label = label, after.select("node", "label")
+        dropped(before)
         if after.where("label <> old").limit(1).count() == 0:
+            dropped(both)
             return label
