@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions.hashing import mix
-from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, word_list, written
+from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, word_sets, written
 
 #: Items are broadcast up to so many rows (about 100 bytes each); beyond, they are joined by shuffle.
 SMALL_ITEMS = 1_000_000
@@ -28,8 +28,8 @@ EXACT_CLASSES = 4096
 
 def baskets(rows: DataFrame, kind: str, id_col: str, words_col: str, order_col: str | None) -> DataFrame:
     """(kind, rec, items): the different words of each record that has any."""
-    one = one_delivery(rows, id_col, F.array_distinct(word_list(F.col(words_col))), order_col)
-    return one.where(F.size("payload") > 0).select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("rec"), F.col("payload").alias("items"))
+    one = word_sets(one_delivery(rows, id_col, F.col(words_col), order_col))
+    return one.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("rec"), F.col("words").alias("items"))
 
 
 def _numbered(df: DataFrame, label: str) -> DataFrame:

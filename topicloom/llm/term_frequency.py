@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import one_delivery, word_list, written
+from topicloom.llm._common import one_delivery, words_of, written
 
 #: A task hands its counters on when it holds so many terms; they are summed by term later.
 HELD_TERMS = 400_000
@@ -31,28 +31,25 @@ class LastSeen:
         self.records = np.zeros(1024, np.int64)
         self.last = np.full(1024, -1, np.int64)
 
-    def add(self, words: pa.ListArray) -> None:
+    def add(self, lists: pa.ListArray) -> None:
         """Count a batch of whole records."""
-        sizes = np.diff(words.offsets.to_numpy(zero_copy_only=False))
-        encoded = words.flatten().dictionary_encode()
-        here = encoded.dictionary.to_pylist()
-        code = self.code
-        to_own = np.fromiter((code.setdefault(w, len(code)) for w in here), np.int64, len(here))
-        while len(self.last) < len(code):
+        words, code, row, n = words_of(lists)
+        here, own = words.to_pylist(), self.code
+        to_own = np.fromiter((own.setdefault(w, len(own)) for w in here), np.int64, len(here))
+        while len(self.last) < len(own):
             self.occurrences = np.concatenate([self.occurrences, np.zeros_like(self.occurrences)])
             self.records = np.concatenate([self.records, np.zeros_like(self.records)])
             self.last = np.concatenate([self.last, np.full(len(self.last), -1)])
-        term = to_own[encoded.indices.to_numpy(zero_copy_only=False)] if here else np.zeros(0, np.int64)
-        record = self.record + np.repeat(np.arange(len(sizes)), sizes)
-        self.record += len(sizes)
-        self.filled += int((sizes > 0).sum())
+        term, record = to_own[code], self.record + row
+        self.record += n
+        self.filled += len(np.unique(row))
         if not len(term):
             return
         order = np.argsort(term, kind="stable")  # by term, records still in order
         term, record = term[order], record[order]
         first = np.r_[True, term[1:] != term[:-1]]
         before = np.where(first, self.last[term], np.r_[-1, record[:-1]])
-        n = len(code)
+        n = len(own)
         self.occurrences[:n] += np.bincount(term, minlength=n)
         self.records[:n] += np.bincount(term[record != before], minlength=n)
         ends = np.r_[first[1:], True]
@@ -86,11 +83,12 @@ def term_frequency(docs: DataFrame, *, id_col: str = "doc_id", words_col: str =
     and empty lists count for nothing; an empty table gives no rows. Other columns of docs are not
     read, whatever their names.
 
-    Records are hash-partitioned by id and read in id order by last-seen counters; what is shuffled
-    by term afterwards is one row per term and task, so a term of every record is no hot key.
+    Records are read whole, one after the other, by last-seen counters in the task that reads them; the
+    counters are hash-partitioned by term and summed. What is shuffled is one row per term and task,
+    so a term of every record is no hot key.
     """
-    records = one_delivery(docs, id_col, word_list(F.col(words_col)), order_col)
-    partial = records.select(F.coalesce("payload", F.array().cast("array<string>")).alias("words")).mapInArrow(_counters, "word string, n_occurrences long, n_docs long")
+    records = one_delivery(docs, id_col, F.col(words_col), order_col)
+    partial = records.select("payload").mapInArrow(_counters, "word string, n_occurrences long, n_docs long")
     counts = written(partial.groupBy("word").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_docs").alias("n_docs")), "terms")
     total = counts.where("word is null").first()
     n = total["n_docs"] if total else 0
