@@ -22,6 +22,9 @@ CHAR_FEATURES, WORD_FEATURES = 512, 512
 #: Abbreviations whose period ends no sentence.
 ABBREVIATIONS = re.compile(r"\b(e\.g|i\.e|approx|etc|vs|cf|ca|v|no|fig|dr|mr|mrs|ms|st|al)\.", re.I)
 
+#: What a text must hold for ABBREVIATIONS to match: looked for first, since that is much faster.
+_SHORT = ("e.g.", "i.e.", "approx.", "etc.", "vs.", "cf.", "ca.", "v.", "no.", "fig.", "dr.", "mr.", "mrs.", "ms.", "st.", "al.")
+_DIGIT = re.compile(r"\d")
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
 _BROKEN = re.compile(r"(?<=\w)\r\n(?=\w)")
 _MARKS = re.compile(r"`[^`\n]*`|\(see https?://[^)\s]*\)|https?://\S+|<\|[^|>\n]{1,30}\|>|</?[A-Za-z][^<>\n]{0,80}>|\*\*|\[[A-Z0-9#]{1,8}\]|&[a-z]{2,8};")
@@ -35,6 +38,19 @@ _WORD = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)*")
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
+class _Visible(dict):
+    """For str.translate: characters that are kept, found out once each. Control, format, private,
+    unassigned and combining ones are not, line feeds and tabs are."""
+
+    def __missing__(self, o: int) -> int | None:
+        kept = chr(o) in "\n\t" or unicodedata.category(chr(o)) not in ("Cc", "Cf", "Co", "Cn", "Mn") and o != 0xFFFD
+        self[o] = o if kept else None
+        return self[o]
+
+
+_VISIBLE = _Visible()
+
+
 def is_english(lang: Column) -> Column:
     return F.lower(F.trim(lang)).rlike(r"^(en|eng|english)([-_ ].*)?$")
 
@@ -43,11 +59,16 @@ def sentences(text: str) -> list[list[str]]:
     """Words of each sentence of the running prose in text, in lower case. Markup, control and
     invisible characters and code are taken out; lines that are lists, logs, parameters or headings
     are no prose."""
-    t = unicodedata.normalize("NFKC", _BROKEN.sub("", _ESCAPES.sub("", text)))
+    t = _ESCAPES.sub("", text) if "\x1b" in text else text
+    t = unicodedata.normalize("NFKC", _BROKEN.sub("", t) if "\r\n" in t else t)
     if not t.isascii():
-        t = "".join(c for c in t if c in "\n\t" or unicodedata.category(c) not in ("Cc", "Cf", "Co", "Cn", "Mn") and c != "�")
-    t = _NUMBER.sub("", _IN_WORD.sub("", _MARKS.sub(" ", t)))
-    t = ABBREVIATIONS.sub(lambda m: m.group(1).replace(".", "") + " ", t)
+        t = t.translate(_VISIBLE)
+    t = _MARKS.sub(" ", t)
+    if _DIGIT.search(t):
+        t = _NUMBER.sub("", _IN_WORD.sub("", t))
+    low = t.lower()
+    if any(s in low for s in _SHORT):
+        t = ABBREVIATIONS.sub(lambda m: m.group(1).replace(".", "") + " ", t)
     out = []
     for line in t.split("\n"):
         if not line or _LISTED.match(line) or not _STOP.search(line) or len(_LOGGED.findall(line)) > 1:
@@ -89,7 +110,8 @@ def features(docs: list[list[str]], known: dict[str, int]) -> np.ndarray:
     pair = (raw[:-1] * 31 + raw[1:] * 7919) % CHAR_FEATURES
     sentence = of_word[np.minimum(starts[:-1], len(of_word)) - 1]
     chars = np.bincount(sentence * CHAR_FEATURES + pair, minlength=n * CHAR_FEATURES).reshape(n, -1).astype(np.float32)
-    hashed = np.fromiter((_word_feature(w, known) for s in docs for w in s), np.int64, len(of_word)) % WORD_FEATURES
+    get = known.get
+    hashed = np.array([f if (f := get(w)) is not None else _word_feature(w, known) for s in docs for w in s], np.int64) % WORD_FEATURES
     terms = np.bincount(of_word * WORD_FEATURES + hashed, minlength=n * WORD_FEATURES).reshape(n, -1).astype(np.float32)
     vowel = np.isin(raw, np.frombuffer(b"aeiouy", np.uint8))
     begins = np.bincount(sentence[vowel[1:] & ~vowel[:-1]], minlength=n) / words
