@@ -63,6 +63,14 @@ def lda_coherence(spark, d):
     return coherence(top.select("topic", "rank_no", "word"), r.select("doc_id", "words"), "c_npmi")
 
 
+@add
+def lda_infer_together(spark, d):
+    m = models.LDA(10, **PRUNE).add(records(spark, d))
+    m.train(5, sync_interval=5)
+    theta = m.infer(word_docs(spark, d), 6, together=True, sync_interval=3)
+    return theta.select("doc_id", F.posexplode("theta").alias("topic", "p"), "ll")
+
+
 @add
 def llda_train(spark, d):
     return _top(models.LLDA(**PRUNE).add(records(spark, d)))
@@ -75,13 +83,13 @@ def plda_train(spark, d):
 
 @add
 def dmr_train(spark, d):
-    return _top(models.DMR(8, **PRUNE).add(records(spark, d).drop("multi_metadata")))
+    return _top(models.DMR(8, **PRUNE).add(records(spark, d)))
 
 
 @add
 def gdmr_train(spark, d):
     r = records(spark, d).where((F.size("numeric_metadata") == 2) & F.forall("numeric_metadata", lambda x: x.isNotNull() & ~F.isnan(x)))
-    m = models.GDMR(6, degrees=[2, 1], optim_interval=5, **PRUNE).add(r.drop("multi_metadata").withColumn("metadata", F.lit("all")))
+    m = models.GDMR(6, degrees=[2, 1], optim_interval=5, **PRUNE).add(r)
     m.train(10, sync_interval=5)
     return m.tdf_linspace([5, 5])
 
