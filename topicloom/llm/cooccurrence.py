@@ -20,8 +20,9 @@ from topicloom.llm._common import batches_of, one_delivery, parted, parts_for, w
 SMALL_ITEMS = 1_000_000
 #: A basket of more items is cut into blocks of first items, which different tasks pair.
 BLOCK = 2048
-#: Pairs counted in memory before they are handed on, and distinct pairs of a part, about.
-HELD_PAIRS, PART_PAIRS = 4_000_000, 3_000_000
+#: Pairs counted in memory before they are handed on; pairs of a part at most, about, since those that
+#: frequencies rule out are counted too when the parts are planned.
+HELD_PAIRS, PART_PAIRS = 4_000_000, 8_000_000
 #: Item frequencies and basket sizes above this share classes 1 % wide in the null model.
 EXACT_CLASSES = 4096
 
@@ -133,7 +134,7 @@ def _merged(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, c in batches_of(batches, [np.int64, np.int32], PART_PAIRS):
+        for k, c in batches_of(batches, [np.int64, np.int32], HELD_PAIRS):
             keys, counts = _summed(np.r_[keys, k], np.r_[counts, c])
         enough = counts >= least
         yield pa.RecordBatch.from_arrays([pa.array(keys[enough]), pa.array(counts[enough])], ["pair", "n_ab"])
