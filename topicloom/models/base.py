@@ -321,8 +321,9 @@ class LDA:
         """Draw the topics of a block anew; [documents, k] counts of the result."""
         return sample(block, g, sweep, lambda nd, a: nd + g["alpha"])
 
-    def _run(self, rows: DataFrame, g, sweep: int, times: int) -> DataFrame:
-        kernel = type(self).kernel
+    def _run(self, rows: DataFrame, g, sweep: int, times: int, scored: bool = False) -> DataFrame:
+        """rows after some sweeps; scored: with ll, what each document adds to the likelihood."""
+        kernel, own, words, topic = type(self).kernel, type(self).doc_lls, type(self).word_lls, self.topic_array
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = g.value
@@ -333,9 +334,13 @@ class LDA:
                     for i in range(times):
                         nd = kernel(block, state, sweep + i)
                         block.new = False
-                    yield block.out(nd)
+                    out = block.out(nd)
+                    if scored:
+                        ll = own(block, state) + words(block, state, topic(block))
+                        out = pa.RecordBatch.from_arrays([*out.columns, pa.array(ll)], [*_NAMES, "ll"])
+                    yield out
 
-        return rows.mapInArrow(run, ROW)
+        return rows.mapInArrow(run, ROW + (", ll double" if scored else ""))
 
     def _sweep(self, sweep: int, times: int = 1, first: bool = False) -> None:
         shared = self.spark.sparkContext.broadcast(self.state())
@@ -549,9 +554,8 @@ class LDA:
         rows = docs if "wid" in docs.columns else self.make_docs(docs)
         if not together:
             shared = self.spark.sparkContext.broadcast({**self.state(), "infer": True})
-            made, extra = written(self._run(rows, shared, 1_000_000, iterations), "inferred"), {}
-        else:
-            made, extra = self._inferred_together(rows, iterations, sync_interval)
+            return self._run(rows, shared, 1_000_000, iterations, scored=True)
+        made, extra = self._inferred_together(rows, iterations, sync_interval)
         return made.join(self._gains(made, extra), "doc_id")
 
     def _read_inferred(self, rows: DataFrame) -> DataFrame:
@@ -573,17 +577,22 @@ class LDA:
 
     def _gains(self, rows: DataFrame, extra: dict) -> DataFrame:
         """(doc_id, ll): own part and what the document's words add to the words of all."""
-        state, topic = {**self.state(), **extra}, self.topic_array
-        f, like = type(self).doc_lls, self.spark.sparkContext.broadcast(state)
+        own, words, topic = type(self).doc_lls, type(self).word_lls, self.topic_array
+        shared = self.spark.sparkContext.broadcast({**self.state(), **extra})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = like.value
+            g = shared.value
             for batch in batches:
                 for block in _blocks(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(f(block, g) + word_gain(block, g, topic(block)))], ["doc_id", "ll"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(own(block, g) + words(block, g, topic(block)))], ["doc_id", "ll"])
 
         return rows.mapInArrow(run, "doc_id long, ll double")
 
+    @staticmethod
+    def word_lls(block: Block, g: dict, topic: np.ndarray) -> np.ndarray:
+        """What each document's words add to the likelihood of the words given the topics."""
+        return word_gain(block, g, topic)
+
     @property
     def topic_array(self) -> Callable[[Block], np.ndarray]:
         """A function of blocks: the topic (row of counts) of each token."""

@@ -691,19 +691,9 @@ class DT(LDA):
 
         return float((n * logs).sum()) + drift(self.logits, self.phi_var) + drift(self.alphas, self.alpha_var)
 
-    def _gains(self, rows: DataFrame, extra: dict) -> DataFrame:
-        """(doc_id, ll): own part, and the words given the drifting weights."""
-        f, g = type(self).doc_lls, self.spark.sparkContext.broadcast({**self.state(), **extra})
-
-        def run(batches):
-            import pyarrow as pa
-
-            from topicloom.models.base import _blocks
-
-            for batch in batches:
-                for block in _blocks(batch):
-                    time = np.array([int(x[0]) for x in block.x])[:, None]
-                    logs = np.log(np.maximum(g.value["like"][time, block.w, block.z], 1e-300)) * block.weight
-                    yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(f(block, g.value) + np.where(block.inside, logs, 0).sum(1))], ["doc_id", "ll"])
-
-        return rows.mapInArrow(run, "doc_id long, ll double")
+    @staticmethod
+    def word_lls(block: Block, g: dict, topic: np.ndarray) -> np.ndarray:
+        """The words given the drifting weights."""
+        time = np.array([int(x[0]) for x in block.x])[:, None]
+        logs = np.log(np.maximum(g["like"][time, block.w, block.z], 1e-300)) * block.weight
+        return np.where(block.inside, logs, 0).sum(1)
