@@ -120,6 +120,11 @@ _PAIRS = """with d1 as (select doc_id, arg_min(words, added_at) as words from tm
  where n_ab >= case p.kind when 'document' then 10 else 5 end and n_ab < n
    and ln(n * n_ab::double / (n_a::double * n_b)) / ln(n / n_ab::double) >= 0.7 - 1e-12"""
 
+_SIMILAR = f"""{_DOC_WORDS}, w as (select distinct doc_id, word from tok), z as (select doc_id, count(*) as n from w group by doc_id having count(*) >= 12),
+ t as (select doc_id, word, n from w join z using (doc_id)),
+ p as (select x.doc_id as doc_id_a, y.doc_id as doc_id_b, any_value(x.n) as n_a, any_value(y.n) as n_b, count(*) as n_ab from t x join t y on x.word = y.word and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+ similar_ as (select doc_id_a, doc_id_b from p where n_ab >= (0.7::double - 1e-12::double) * (n_a + n_b - n_ab))"""
+
 SQL: dict[str, str] = {
     "p1_found": f"select word, mark from ({_TERMS}) where mark is not null",
     "p1_terms": _TERMS,
@@ -127,10 +132,10 @@ SQL: dict[str, str] = {
  select topic_id, word, row_number() over (partition by topic_id order by w desc, word) as rn from (
   select topic_id, word, max(weight) as w from topicwords where word is not null and isfinite(weight) and topic_id is not null group by topic_id, word)) where rn <= 10""",
     "p3_found": _PAIRS,
-    "p4_found": f"""with {_DOC_WORDS}, w as (select distinct doc_id, word from tok), z as (select doc_id, count(*) as n from w group by doc_id having count(*) >= 12),
- t as (select doc_id, word, n from w join z using (doc_id)),
- p as (select x.doc_id as doc_id_a, y.doc_id as doc_id_b, any_value(x.n) as n_a, any_value(y.n) as n_b, count(*) as n_ab from t x join t y on x.word = y.word and x.doc_id < y.doc_id group by x.doc_id, y.doc_id)
- select doc_id_a, doc_id_b from p where n_ab >= (0.7::double - 1e-12::double) * (n_a + n_b - n_ab)""",
+    "p4_found": f"with {_SIMILAR} select doc_id_a, doc_id_b from similar_",
+    "p4_groups": f"""with recursive {_SIMILAR}, e as (select doc_id_a as a, doc_id_b as b from similar_ union all select doc_id_b, doc_id_a from similar_),
+ r(node, label) as (select doc_id, doc_id from z union select e.b, r.label from r join e on e.a = r.node)
+ select node as doc_id, min(label) as class_id, (select count(*) from e where e.a = node) as n_links from r group by node""",
     "p5_found": """with v as (select doc_id, arg_min(cast(topic_dist as double[]), inferred_at) as v from doctopics
   where doc_id is not null and len(topic_dist) = 64 and len(list_filter(topic_dist, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(topic_dist, lambda x: x <> 0)) > 0 group by doc_id),
  c as (select x.doc_id as a, y.doc_id as b, list_cosine_similarity(x.v, y.v) as c from v x join v y on x.doc_id <> y.doc_id),
