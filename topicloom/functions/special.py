@@ -60,7 +60,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
         shift = shift + np.where(low, np.log(np.where(low, y, 1.0)), 0)
         y = np.where(low, y + 1, y)
     i = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i * (1 / 1188 - i * 691 / 360360))))) / y - shift
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
