@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -89,6 +90,28 @@ def test_longer_ngrams_and_short_documents(spark):
     assert got == {("x", "y", "z"): 4}
 
 
+def test_branching_entropy_with_and_without_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [[rng.choice(["a", "b", "c", "d", "e", None]) for _ in range(rng.randint(0, 12))] for _ in range(60)] + [["x", "y"]] * 3
+    rows = words(spark, *docs).repartition(5)
+    pairs = {(r.w1, r.w2): ([], []) for r in ngrams.bigrams(rows, min_cf=3, min_df=2).collect()}
+    for d in docs:
+        for i in range(len(d) - 1):
+            if (d[i], d[i + 1]) in pairs:
+                pairs[d[i], d[i + 1]][0].append(d[i + 2] if i + 2 < len(d) else None)
+                pairs[d[i], d[i + 1]][1].append(d[i - 1] if i else None)
+    wanted = {k: [-sum(x.count(w) / len(x) * math.log(x.count(w) / len(x)) for w in set(x)) for x in sides] for k, sides in pairs.items()}
+    for limit in (ngrams.MAX_LISTED, 0):
+        monkeypatch.setattr(ngrams, "MAX_LISTED", limit)
+        be = ngrams.branching_entropy(rows, min_cf=3, min_df=2)
+        got = {(r.w1, r.w2): (r.rbe, r.lbe) for r in be.collect()}
+        assert got.keys() == wanted.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], wanted[k]))
+        assert got["x", "y"] == (0.0, 0.0)
+        if limit:  # neighbours are counted inside the row: no token is joined, one small plan
+            plan = be._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Window" not in plan and plan.count("Aggregate") == 2
+
+
 def test_sentences_uids_and_concatenation(spark):
     t = words(spark, ["a", ".", "b", "c", None, ".", "d"])
     assert [(r.word, r.sent) for r in corpus.split_sentences(t, ".").orderBy("pos").collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]

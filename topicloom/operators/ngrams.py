@@ -170,21 +170,77 @@ def pmi_candidates(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5, m
     return found
 
 
-def branching_entropy(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5) -> DataFrame:
+def _context_counts(shared):
+    """mapInArrow function: (doc_id, words) -> (pair, side, word, c): counts in the batch of the words
+    behind (side 0) and before (side 1) each valid pair, null at a border or a hole. pair: its place
+    among the sorted codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, valid = shared.value
+        for batch in (whole.slice(a, 2000) for whole in batches for a in range(0, whole.num_rows, 2000)):
+            rows = Rows(batch.column(1))
+            coded = rows.values.dictionary_encode()
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = np.r_[pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64), -1][code]
+            at = np.flatnonzero((rows.row[1:] == rows.row[:-1]) & (known[1:] >= 0) & (known[:-1] >= 0))
+            key = known[at] * 2**32 + known[at + 1]
+            hit = _among(valid, key)
+            at, pair = at[hit], np.searchsorted(valid, key[hit])
+            for side, to in ((0, at + 2), (1, at - 1)):
+                inside = (to >= 0) & (to < len(code))
+                to = np.where(inside, to, 0)
+                word = np.where(inside & (rows.row[to] == rows.row[at]), code[to], -1) + 1
+                key, c = np.unique(pair * (len(coded.dictionary) + 1) + word, return_counts=True)
+                word = key % (len(coded.dictionary) + 1) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key // (len(coded.dictionary) + 1)), pa.array(np.full(len(key), side, np.int32)), coded.dictionary.take(pa.array(word, mask=word < 0)), pa.array(c)], ["pair", "side", "word", "c"])
+
+    return run
+
+
+def _pair_words(shared):
+    """mapInArrow function: (pair, rbe, lbe) -> (w1, w2, rbe, lbe)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, valid = shared.value
+        for batch in batches:
+            code = valid[batch.column(0).to_numpy()]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(code >> 32)), words.take(pa.array(code & (2**32 - 1))), *batch.columns[1:]], ["w1", "w2", "rbe", "lbe"])
+
+    return run
+
+
+def _entropies(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rbe, lbe) of counts(keys, side, word, c): ln t - sum c ln c / t of each side's counts,
+    which is the entropy of their shares without a window over their sum t."""
+    each = counts.groupBy(*keys, "side", "word").agg(F.sum("c").alias("c"))
+
+    def of(side: int) -> Column:
+        c = F.when(F.col("side") == side, F.col("c").cast("double"))
+        t = F.sum(c)
+        return F.when(F.max(c) < t, F.log(t) - F.sum(c * F.log(c)) / t).otherwise(0.0)
+
+    return each.groupBy(*keys).agg(of(0).alias("rbe"), of(1).alias("lbe"))
+
+
+def branching_entropy(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5, pairs: DataFrame | None = None) -> DataFrame:
     """(w1, w2, rbe, lbe) of each pair of bigrams(): entropy of the word that follows (rbe) and that
-    comes before (lbe). Occurrences at a border or a hole are one more outcome."""
-    pairs = bigrams(word_docs, min_cf=min_cf, min_df=min_df)
+    comes before (lbe). Occurrences at a border or a hole are one more outcome. Up to MAX_LISTED pairs
+    are broadcast and their neighbours counted inside the row; more are joined. pairs:
+    bigrams(word_docs), if written."""
+    if pairs is None:
+        word_docs = written(word_docs.select("doc_id", "words"), "words")  # read three times
+        pairs = written(bigrams(word_docs, min_cf=min_cf, min_df=min_df, uni=written(unigrams(word_docs), "unigrams")), "pairs")
+    valid = pairs.select("w1", "w2")
+    if valid.count() <= MAX_LISTED:
+        shared = _pairs_of(valid)
+        counts = word_docs.select("doc_id", "words").mapInArrow(_context_counts(shared), "pair long, side int, word string, c long")
+        return _entropies(counts, "pair").mapInArrow(_pair_words(shared), "w1 string, w2 string, rbe double, lbe double")
     n = F.size("words")
     none = F.array(F.lit(None).cast("string"))
     zipped = F.arrays_zip(F.concat(none, F.slice("words", 1, n - 1)).alias("before"), F.col("words").alias("w1"), F.concat(F.slice("words", 2, n - 1), none).alias("w2"), F.concat(F.slice("words", 3, F.greatest(n - 2, F.lit(0))), none, none).alias("after"))
-    at = word_docs.where(n > 1).select(F.explode(zipped).alias("p")).select("p.*").join(pairs.select("w1", "w2"), ["w1", "w2"])
-
-    def side(x: str, name: str) -> DataFrame:
-        c = at.groupBy("w1", "w2", x).agg(F.count("*").alias("c"))
-        share = F.col("c") / F.sum("c").over(Window.partitionBy("w1", "w2"))
-        return c.withColumn("p", share).groupBy("w1", "w2").agg((-F.sum(F.col("p") * F.log("p"))).alias(name))
-
-    return pairs.select("w1", "w2").join(side("after", "rbe"), ["w1", "w2"]).join(side("before", "lbe"), ["w1", "w2"])
+    at = word_docs.where(n > 1).select(F.explode(zipped).alias("p")).select("p.*").join(valid, ["w1", "w2"])
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(x).alias("word")) for i, x in enumerate(("after", "before"))])
+    return _entropies(at.select("w1", "w2", F.explode(sides).alias("x")).select("w1", "w2", "x.*", F.lit(1).alias("c")), "w1", "w2")
 
 
 def pmi_be(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5) -> DataFrame:
