@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators import corpus, ngrams
+from topicloom.operators import corpus, labeling, ngrams
 from topicloom.plans import catalog
 
 
@@ -190,3 +190,10 @@ def test_names_and_html(spark):
     rows = spark.createDataFrame([(1, "a <b> & c", [0, 3], [1, 1], [2, None]), (2, None, None, None, None)], "doc_id long, raw string, start array<int>, len array<int>, topic array<int>")
     got = {r.doc_id: r.html for r in explore.topic_html(rows).collect()}
     assert got == {1: '<span class="topic-2">a</span> &lt;b&gt; &amp; c', 2: None}
+
+
+def test_names_of_phrases_that_fill_a_long_text(spark):
+    t = texts(spark, "Ab cd " * 30_000, "ab, CD; 😀 ab  cd", "", "cd")  # copies of the text for all places are 5 GB
+    cand = spark.createDataFrame([(["ab", "cd"],), (["cd", "ab"],), (["cd", "cd"],)], "words array<string>")
+    forms = {(tuple(r.words), r.form): r.n for r in labeling.surface_forms(t, cand).collect()}
+    assert forms == {(("ab", "cd"), "Ab cd"): 30_000, (("cd", "ab"), "cd Ab"): 29_999, (("ab", "cd"), "ab, CD"): 1, (("ab", "cd"), "ab  cd"): 1}

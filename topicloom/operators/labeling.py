@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,17 +166,26 @@ def surface_forms(docs: DataFrame, phrases: DataFrame, *, text_col: str = "text"
         trie = shared.value
         texts = pa.array([list(p) for p in trie.phrases], pa.list_(pa.string()))
         size = np.array([len(p) for p in trie.phrases], np.int64)
-        for batch in batches:
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             rows = Rows(batch.column(1))
             at, which = trie.find(rows)
+            order = np.argsort(at, kind="stable")  # row by row, so that each text is held once, not for each place in it
+            at, which = at[order], which[order]
             begin = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             end = begin + batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            raw = batch.column(4).take(pa.array(rows.row[at])).to_pylist()
-            forms = [t[a:b] for t, a, b in zip(raw, begin[at].tolist(), end[at + size[which] - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([texts.take(pa.array(which)), pa.array(forms, pa.string())], ["words", "form"])
+            begin, end, row = begin[at], end[at + size[which] - 1], rows.row[at]
+            counts: Counter[tuple[int, str]] = Counter()
+            ends = np.r_[np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)] if len(row) else []
+            a = 0
+            for b in ends:
+                text = batch.column(4)[int(row[a])].as_py()
+                counts.update((k, text[i:j]) for k, i, j in zip(which[a:b].tolist(), begin[a:b].tolist(), end[a:b].tolist()))
+                a = b
+            found, forms = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([texts.take(pa.array(found, pa.int64())), pa.array(forms, pa.string()), pa.array(counts.values(), pa.int64())], ["words", "form", "n"])
 
     made = span_lists(docs.where(F.col(text_col).isNotNull()), text_col=text_col, pattern=pattern, keep=text_col)
-    return made.mapInArrow(run, "words array<string>, form string").groupBy("words", "form").agg(F.count("*").alias("n"))
+    return made.mapInArrow(run, "words array<string>, form string, n long").groupBy("words", "form").agg(F.sum("n").alias("n"))
 
 
 def named_candidates(candidates: DataFrame, forms: DataFrame) -> DataFrame:
