@@ -1,10 +1,12 @@
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma, digamma_rising, lbfgs, legendre, legendre_values, lgamma, log_rising
 from topicloom.operators import coherence, explore, labeling, readout
+from topicloom.plans import catalog
 
 
 def test_special_functions(spark):
@@ -48,6 +50,42 @@ def test_sweeps_do_not_depend_on_partitions(spark):
     assert got[0] == got[1] == got[2]
 
 
+def test_sweeps_with_large_ids(spark):
+    seeds = [0, 8_357_000_000, 8_359_000_000, 10**13, 2**62, -1, -(2**62)]
+    got = spark.createDataFrame([(x,) for x in seeds], "x long").select(readout.uniform(F.col("x")).alias("u")).collect()
+    assert [r.u for r in got] == [((x * 1103515245 + 12345) % 2**31 + 0.5) / 2**31 for x in seeds]
+    a, v = assigned(spark), vocab(spark)
+    moved = readout.jacobi_sweep(a.withColumn("doc_id", F.col("doc_id") + 10**10), v, 3, 0.1, 0.01, F.col("doc_id") * 1009 + F.col("pos") * 7 + 1)
+    assert moved.count() == a.count() and moved.where("z between 0 and 2").count() == a.count()
+
+
+def swept(tokens, v, seed, allowed=lambda doc, z: True):
+    """tokens [(doc_id, pos, wid, z)] with new topics, one by one."""
+    dk, wk, zk = Counter((d, z) for d, _, _, z in tokens), Counter((w, z) for _, _, w, z in tokens), Counter(z for *_, z in tokens)
+    out = []
+    for d, pos, w, z in tokens:
+        p = [(dk[d, k] - (k == z) + catalog.ALPHA) * (wk[w, k] - (k == z) + catalog.ETA) / (zk[k] - (k == z) + v * catalog.ETA) * allowed(d, k) for k in range(catalog.K)]
+        u = (((d * 1009 + pos * 7 + seed) * 1103515245 + 12345) % 2**31 + 0.5) / 2**31
+        sums = np.cumsum(p)
+        out.append((d, pos, w, int(np.argmax(sums > u * sums[-1]))))
+    return sorted(out)
+
+
+def far(spark, tmp_path):
+    """A folder of documents whose ids are large, its tokens before the sweeps and the number of words."""
+    rng = np.random.default_rng(3)
+    rows = [(10**10 + i, " ".join(f"w{x}" for x in rng.integers(0, 16, 30)), "en", "s", 1) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    a, v = catalog.read(spark, str(tmp_path))
+    return str(tmp_path), [tuple(r) for r in a.select("doc_id", "pos", "wid", "z").collect()], v.where("used").count()
+
+
+def test_two_sweeps_over_large_ids(spark, tmp_path):
+    d, tokens, v = far(spark, tmp_path)
+    wanted = Counter((z, w) for _, _, w, z in swept(swept(tokens, v, 1), v, 2))
+    assert {(r.z, r.wid): r.n for r in catalog.QUERIES["jacobi_sweep_2"](spark, d).collect()} == wanted
+
+
 def topics(spark, *words):
     return spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(words)], "topic int, rank_no int, word string")
 

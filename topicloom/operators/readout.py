@@ -105,8 +105,10 @@ def alpha_step(assigned: DataFrame, k: int, alpha: list[float]) -> DataFrame:
 
 
 def uniform(seed: Column) -> Column:
-    """A number in (0, 1) from whole numbers: a linear congruential step, the same in any SQL engine."""
-    return (F.pmod(seed * 1103515245 + 12345, F.lit(2147483648)) + 0.5) / 2147483648.0
+    """A number in (0, 1) from whole numbers: a linear congruential step, the same in any SQL engine.
+    The seed's remainder comes first, since its product with the factor can pass 64 bits."""
+    rest = F.pmod(seed.cast("long"), F.lit(2147483648))
+    return (F.pmod(rest * 1103515245 + 12345, F.lit(2147483648)) + 0.5) / 2147483648.0
 
 
 def jacobi_sweep(assigned: DataFrame, vocab: DataFrame, k: int, alpha: float, eta: float, seed: Column, allowed: Column | None = None) -> DataFrame:
