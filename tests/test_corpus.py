@@ -112,6 +112,19 @@ def test_branching_entropy_with_and_without_broadcast(spark, monkeypatch):
             assert "Join" not in plan and "Window" not in plan and plan.count("Aggregate") == 2
 
 
+def test_pmi_be_joins_pairs_only(spark):
+    rng = random.Random(6)
+    rows = words(spark, *[[rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(40)])
+    made = ngrams.pmi_be(rows, min_cf=3, min_df=2)
+    npmi = {(r.w1, r.w2): r for r in ngrams.scored_bigrams(rows, min_cf=3, min_df=2, normalized=True).collect()}
+    be = {(r.w1, r.w2): r for r in ngrams.branching_entropy(rows, min_cf=3, min_df=2).collect()}
+    got = {(r.w1, r.w2): r.score for r in made.collect()}
+    assert got and got.keys() == npmi.keys() == be.keys()
+    assert all(abs(got[k] - npmi[k].score * math.sqrt(be[k].rbe * be[k].lbe) / math.log(npmi[k].cf)) < 1e-9 for k in got)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()  # texts and pairs are read once, as tables
+    assert plan.count("MapInArrow") == 2 and "Window" not in plan
+
+
 def test_sentences_uids_and_concatenation(spark):
     t = words(spark, ["a", ".", "b", "c", None, ".", "d"])
     assert [(r.word, r.sent) for r in corpus.split_sentences(t, ".").orderBy("pos").collect()] == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]

@@ -245,8 +245,11 @@ def branching_entropy(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5
 
 def pmi_be(word_docs: DataFrame, *, min_cf: int = 10, min_df: int = 5) -> DataFrame:
     """(w1, w2, score): npmi * sqrt(rbe * lbe) / ln cf."""
-    npmi = scored_bigrams(word_docs, min_cf=min_cf, min_df=min_df, normalized=True)
-    be = branching_entropy(word_docs, min_cf=min_cf, min_df=min_df)
+    word_docs = written(word_docs.select("doc_id", "words"), "words")  # read three times
+    uni = written(unigrams(word_docs), "unigrams")
+    pairs = written(bigrams(word_docs, min_cf=min_cf, min_df=min_df, uni=uni), "pairs")
+    npmi = _scored(uni, pairs, float("-inf"), normalized=True)
+    be = branching_entropy(word_docs, pairs=pairs)
     return npmi.join(be, ["w1", "w2"]).select("w1", "w2", (F.col("score") * F.sqrt(F.greatest(F.col("rbe") * F.col("lbe"), F.lit(0.0))) / F.log("cf")).alias("score"))
 
 
