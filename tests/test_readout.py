@@ -86,6 +86,11 @@ def test_two_sweeps_over_large_ids(spark, tmp_path):
     assert {(r.z, r.wid): r.n for r in catalog.QUERIES["jacobi_sweep_2"](spark, d).collect()} == wanted
 
 
+def test_one_sweep_over_large_ids(spark, tmp_path):
+    d, tokens, v = far(spark, tmp_path)
+    assert sorted(tuple(r) for r in catalog.QUERIES["jacobi_sweep_1"](spark, d).collect()) == swept(tokens, v, 1)
+
+
 def topics(spark, *words):
     return spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(words)], "topic int, rank_no int, word string")
 
