@@ -91,6 +91,12 @@ def test_one_sweep_over_large_ids(spark, tmp_path):
     assert sorted(tuple(r) for r in catalog.QUERIES["jacobi_sweep_1"](spark, d).collect()) == swept(tokens, v, 1)
 
 
+def test_a_masked_sweep_over_large_ids(spark, tmp_path):
+    d, tokens, v = far(spark, tmp_path)
+    wanted = swept(tokens, v, 3, lambda doc, z: z == 0 or z == 1 + doc % (catalog.K - 1))
+    assert sorted(tuple(r) for r in catalog.QUERIES["labelled_mask_sweep"](spark, d).collect()) == wanted
+
+
 def topics(spark, *words):
     return spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(words)], "topic int, rank_no int, word string")
 
