@@ -155,6 +155,16 @@ def test_counts_inside_rows_equal_counts_of_tokens(spark):
     assert both[0] == both[1] and corpus.count_words(rows.limit(0)).count() == 0
 
 
+def test_lists_are_encoded_like_tokens(spark):
+    rows = [(1, ["a", None, "b", "a"]), (2, []), (3, None), (4, ["c"]), (10**15, ["b", "c", "x", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    v = spark.createDataFrame([("a", 1, True), ("b", 0, True), ("c", None, False)], "word string, wid int, used boolean")
+    for limit in (corpus.MAX_USED, 1):
+        got = sorted(map(tuple, corpus.encode_lists(docs.repartition(2), v, limit=limit).collect()))
+        assert got == [(1, [0, 2, 3], [1, 0, 1]), (10**15, [0, 3], [0, 1])]
+    assert corpus.encode_lists(docs, v.where("not used")).collect() == []
+
+
 def test_phrases_are_found_and_merged_like_one_by_one(spark):
     lists = random_lists(seed=2)
     rows = words(spark, *lists)

@@ -86,6 +86,28 @@ def test_two_sweeps_over_large_ids(spark, tmp_path):
     assert {(r.z, r.wid): r.n for r in catalog.QUERIES["jacobi_sweep_2"](spark, d).collect()} == wanted
 
 
+def test_sweeps_of_documents_in_rows(spark):
+    rng = np.random.default_rng(5)
+    tokens = [(10**15 * (i % 3) + i // 4, int(p), int(w), int(z)) for i in range(40) for p, (w, z) in enumerate(zip(rng.integers(0, 8, 20), rng.integers(0, 5, 20)))]
+    tokens = sorted({t[:2]: t for t in tokens}.values())
+    v = spark.createDataFrame([(f"w{i}", i, True) for i in range(8)] + [("rare", None, False)], "word string, wid int, used boolean")
+    t = spark.createDataFrame(tokens, "doc_id long, pos int, wid int, z int")
+    halves = t.groupBy("doc_id", (F.col("pos") % 2).alias("half")).agg(F.array_sort(F.collect_list(F.struct("pos", "wid", "z"))).alias("t")).select("doc_id", "t.pos", "t.wid", "t.z")
+    whole = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid", "z"))).alias("t")).select("doc_id", "t.pos", "t.wid", "t.z")
+    wanted = swept(tokens, 8, 1)
+    for docs in (whole.repartition(1), whole.repartition(7), halves):  # rows of one doc_id are one document
+        for limit in (readout.MAX_COUNTS, 8):
+            got = readout.sweep_lists(docs, v, catalog.K, catalog.ALPHA, catalog.ETA, lambda doc, pos: doc * 1009 + pos * 7 + 1, limit=limit)
+            assert sorted(map(tuple, got.collect())) == wanted
+    assert readout.sweep_lists(whole.limit(0), v.where("not used"), 5, 0.1, 0.01, lambda doc, pos: doc).collect() == []
+
+
+def test_one_sweep_moves_no_tokens(spark, tmp_path):
+    d, _, _ = far(spark, tmp_path)
+    plan = catalog.QUERIES["jacobi_sweep_1"](spark, d)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Sort" not in plan
+
+
 def test_one_sweep_over_large_ids(spark, tmp_path):
     d, tokens, v = far(spark, tmp_path)
     assert sorted(tuple(r) for r in catalog.QUERIES["jacobi_sweep_1"](spark, d).collect()) == swept(tokens, v, 1)

@@ -24,6 +24,8 @@ from topicloom.sources.tables import written
 POSITIONS = 1 << 24
 #: Phrases are broadcast: at most this many.
 MAX_PHRASES = 100_000
+#: Used words are broadcast to encode lists inside the row up to this many; beyond, tokens are joined with them.
+MAX_USED = 1_000_000
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
@@ -269,6 +271,38 @@ def encode(tokens_: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens_.join(vocab.where("used").select("word", "wid"), "word").select(*tokens_.columns, "wid")
 
 
+def _encoded(shared):
+    """mapInArrow function: (doc_id, words) -> (doc_id, pos, wid) of the used words, lists both; documents
+    without any are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows(batch.column(1))
+            coded = rows.values.dictionary_encode()
+            wid = np.r_[pc.fill_null(pc.index_in(coded.dictionary, value_set=shared.value), -1).to_numpy(zero_copy_only=False), -1]
+            wid = wid[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)].astype(np.int32)
+            known = wid >= 0
+            size = np.bincount(rows.row[known], minlength=batch.num_rows)
+            ends = pa.array(np.r_[0, np.cumsum(size[size > 0])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[known].astype(np.int32))) for x in (rows.place, wid)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(size > 0)), *lists], ["doc_id", "pos", "wid"])
+
+    return run
+
+
+def encode_lists(word_docs: DataFrame, vocab: DataFrame, *, limit: int = MAX_USED) -> DataFrame:
+    """(doc_id, pos, wid), lists both, of word_docs(doc_id, words): encode of documents given as lists,
+    inside the row with the broadcast vocabulary. More than limit used words are joined instead."""
+    used = vocab.where("used").select("wid", "word")
+    kind = dict(word_docs.dtypes)["doc_id"]
+    if used.count() > limit:
+        per_doc = encode(word_tokens(word_docs), vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("t"))
+        return per_doc.select("doc_id", F.col("t.pos").alias("pos"), F.col("t.wid").alias("wid"))
+    words = used.toArrow().sort_by("wid").column("word").combine_chunks().cast(pa.string())
+    shared = word_docs.sparkSession.sparkContext.broadcast(words)
+    return word_docs.select("doc_id", "words").mapInArrow(_encoded(shared), f"doc_id {kind}, pos array<int>, wid array<int>")
+
+
 def remap(own: DataFrame, other: DataFrame) -> DataFrame:
     """(wid, word, other_wid): the ids of own's words in another vocabulary; -1 if missing there."""
     to = other.where("used").select("word", F.col("wid").alias("other_wid"))

@@ -6,10 +6,18 @@ never a cross join of documents with words).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.special import digamma_rising, log_rising
+from topicloom.operators.corpus import Rows
+
+#: Counts of words by topic are broadcast for a sweep up to this many; beyond, tokens are joined with them.
+MAX_COUNTS = 4_000_000
 
 
 def topic_word_counts(assigned: DataFrame) -> DataFrame:
@@ -128,3 +136,62 @@ def jacobi_sweep(assigned: DataFrame, vocab: DataFrame, k: int, alpha: float, et
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("z"))
     passed = F.aggregate("_p", none, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["z"] + (s["sum"] + x <= F.col("_u")).cast("int")).alias("z")))
     return t.withColumn("z", F.least(passed["z"], F.lit(k - 1)).cast("int")).select(*assigned.columns)
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _counted(v: int, k: int):
+    """mapInArrow function: (wid, z), lists both -> (at, n): how often wid * k + z occurs in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(v * k, np.int64)
+        for batch in batches:
+            n += np.bincount(_flat(batch.column(0)) * k + _flat(batch.column(1)), minlength=v * k)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["at", "n"])
+
+    return run
+
+
+def _drawn(shared, k: int, alpha: float, eta: float, seed: Callable):
+    """mapInArrow function: (doc_id, pos, wid, z), lists but the first -> a row for each token, z drawn anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nw = shared.value.astype(np.float64)
+        nk, topics, step = nw.sum(axis=0), np.arange(k), max(1, (1 << 20) // k)
+        for batch in batches:
+            row, pos, wid, z = Rows(batch.column(1)).row, *(_flat(batch.column(i)) for i in (1, 2, 3))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            nd = np.bincount(row * k + z, minlength=batch.num_rows * k).reshape(-1, k).astype(np.float64)
+            for at in (slice(a, a + step) for a in range(0, len(row), step)):  # bounds what is held by token and topic
+                d, w = doc[row[at]], wid[at]
+                own = (z[at, None] == topics).astype(np.float64)
+                p = (nd[row[at]] - own + alpha) * (nw[w] - own + eta) / (nk - own + len(nw) * eta)
+                sums = np.cumsum(p, axis=1)
+                # the seed may wrap around at 64 bits, which its remainder by 2^31 doesn't notice
+                u = (((seed(d, pos[at]) * 1103515245 + 12345) & 2147483647) + 0.5) / 2147483648.0
+                new = np.minimum((sums <= (u * sums[:, -1])[:, None]).sum(axis=1), k - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(d), *(pa.array(x.astype(np.int32)) for x in (pos[at], w, new))], ["doc_id", "pos", "wid", "z"])
+
+    return run
+
+
+def sweep_lists(docs: DataFrame, vocab: DataFrame, k: int, alpha: float, eta: float, seed: Callable, *, limit: int = MAX_COUNTS) -> DataFrame:
+    """(doc_id, pos, wid, z): jacobi_sweep of documents in rows, docs(doc_id bigint, pos, wid, z), lists but
+    the first, every weight 1. A document's counts are made inside its row, those of words are broadcast, so
+    no token is shuffled. More than limit counts are joined, by jacobi_sweep. docs is read three times.
+    seed(doc_id, pos): a whole number for each token, of columns or of arrays."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # rows of one doc_id are one document
+        docs = docs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "wid", "z")).alias("t")).select("doc_id", *[F.flatten(f"t.{c}").alias(c) for c in ("pos", "wid", "z")])
+    v = vocab.where("used").count()
+    if v * k > limit:
+        each = docs.select("doc_id", F.explode(F.arrays_zip("pos", "wid", "z")).alias("t")).select("doc_id", "t.pos", "t.wid", "t.z", F.lit(1.0).alias("w"))
+        return jacobi_sweep(each, vocab, k, alpha, eta, seed(F.col("doc_id"), F.col("pos"))).drop("w")
+    n = docs.select("wid", "z").mapInArrow(_counted(v, k), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(v * k, np.int64)
+    counts[n.column("at").to_numpy()] = n.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts.reshape(v, k))
+    return docs.select("doc_id", "pos", "wid", "z").mapInArrow(_drawn(shared, k, alpha, eta, seed), "doc_id long, pos int, wid int, z int")

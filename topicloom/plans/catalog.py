@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +72,13 @@ def read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return written(assigned(spark, d, v), "assigned"), v
 
 
+def read_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The tokens of read in a row for each document, (doc_id, pos, wid, z), lists but the first; vocabulary."""
+    v = vocab(spark, d)
+    z = F.zip_with("pos", "wid", lambda pos, wid: F.pmod(F.col("doc_id") * 31 + pos * 17 + wid, F.lit(K)).cast("int"))
+    return written(corpus.encode_lists(word_docs(spark, d), v).withColumn("z", z), "assigned"), v
+
+
 _PAT = TOKEN_PATTERN.replace("'", "''")
 WS = f"ws as (select doc_id, list_transform(regexp_extract_all(text, '{_PAT}'), lambda x: lower(x)) as words, text, lang, source, n_chars from documents where text is not null)"
 WD = f"{WS}, wd as (select doc_id, words, len(words) as n from ws where len(words) > 0)"
@@ -378,14 +385,18 @@ def _sweep_sql(source: str, out: str, seed: str, allowed: str = "") -> str:
  {out} as (select x.doc_id, x.pos, x.word, x.wid, min(x.k) as z from {out}_c x join {out}_m y on y.doc_id = x.doc_id and y.pos = x.pos where x.c > ((x.s + 0.5::double) / 2147483648.0::double) * y.m group by all)"""
 
 
+def _number(doc, pos, step: int):
+    return doc * 1009 + pos * 7 + step
+
+
 def _seed(step: int):
-    return F.col("doc_id") * 1009 + F.col("pos") * 7 + step
+    return _number(F.col("doc_id"), F.col("pos"), step)
 
 
 @query("doc_id:bigint pos:int wid:int z:int", f"with {ASG}, {KS}, {_sweep_sql('asg', 's1', 'a.doc_id * 1009 + a.pos * 7 + 1')} select doc_id, pos, wid, z from s1")
 def jacobi_sweep_1(spark, d):
-    a, v = read(spark, d)
-    return readout.jacobi_sweep(a, v, K, ALPHA, ETA, _seed(1))
+    docs_, v = read_lists(spark, d)
+    return readout.sweep_lists(docs_, v, K, ALPHA, ETA, partial(_number, step=1))
 
 
 @query("z:int wid:int n:bigint", f"with {ASG}, {KS}, {_sweep_sql('asg', 's1', 'a.doc_id * 1009 + a.pos * 7 + 1')}, {_sweep_sql('s1', 's2', 'a.doc_id * 1009 + a.pos * 7 + 2')} select z, wid, count(*) as n from s2 group by z, wid")
