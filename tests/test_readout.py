@@ -119,6 +119,24 @@ def test_a_masked_sweep_over_large_ids(spark, tmp_path):
     assert sorted(tuple(r) for r in catalog.QUERIES["labelled_mask_sweep"](spark, d).collect()) == wanted
 
 
+def test_masked_sweeps_of_documents_in_rows(spark):
+    rng = np.random.default_rng(6)
+    tokens = [(i, p, int(w), int(z)) for i in range(12) for p, (w, z) in enumerate(zip(rng.integers(0, 8, 25), rng.integers(0, 5, 25)))]
+    v = spark.createDataFrame([(f"w{i}", i, True) for i in range(8)], "word string, wid int, used boolean")
+    docs = spark.createDataFrame(tokens, "doc_id long, pos int, wid int, z int").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid", "z"))).alias("t")).select("doc_id", "t.pos", "t.wid", "t.z")
+    wanted = swept(tokens, 8, 2, lambda doc, z: z == doc % 5 or z == 4)
+    ok = F.array(*[(F.col("doc_id") % 5 == i) | F.lit(i == 4) for i in range(5)])
+    for limit in (readout.MAX_COUNTS, 8):
+        got = readout.sweep_lists(docs.repartition(3), v, catalog.K, catalog.ALPHA, catalog.ETA, lambda doc, pos: doc * 1009 + pos * 7 + 2, ok, limit=limit)
+        assert sorted(map(tuple, got.collect())) == wanted
+
+
+def test_a_masked_sweep_moves_no_tokens(spark, tmp_path):
+    d, _, _ = far(spark, tmp_path)
+    plan = catalog.QUERIES["labelled_mask_sweep"](spark, d)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Sort" not in plan
+
+
 def topics(spark, *words):
     return spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(words)], "topic int, rank_no int, word string")
 

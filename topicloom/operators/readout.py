@@ -156,7 +156,8 @@ def _counted(v: int, k: int):
 
 
 def _drawn(shared, k: int, alpha: float, eta: float, seed: Callable):
-    """mapInArrow function: (doc_id, pos, wid, z), lists but the first -> a row for each token, z drawn anew."""
+    """mapInArrow function: (doc_id, pos, wid, z) and perhaps the allowed topics, lists but the first -> a
+    row for each token, z drawn anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nw = shared.value.astype(np.float64)
@@ -164,12 +165,13 @@ def _drawn(shared, k: int, alpha: float, eta: float, seed: Callable):
         for batch in batches:
             row, pos, wid, z = Rows(batch.column(1)).row, *(_flat(batch.column(i)) for i in (1, 2, 3))
             doc = batch.column(0).to_numpy(zero_copy_only=False)
+            ok = _flat(batch.column(4)).reshape(-1, k).astype(np.float64) if batch.num_columns > 4 else None
             nd = np.bincount(row * k + z, minlength=batch.num_rows * k).reshape(-1, k).astype(np.float64)
             for at in (slice(a, a + step) for a in range(0, len(row), step)):  # bounds what is held by token and topic
                 d, w = doc[row[at]], wid[at]
                 own = (z[at, None] == topics).astype(np.float64)
                 p = (nd[row[at]] - own + alpha) * (nw[w] - own + eta) / (nk - own + len(nw) * eta)
-                sums = np.cumsum(p, axis=1)
+                sums = np.cumsum(p if ok is None else p * ok[row[at]], axis=1)
                 # the seed may wrap around at 64 bits, which its remainder by 2^31 doesn't notice
                 u = (((seed(d, pos[at]) * 1103515245 + 12345) & 2147483647) + 0.5) / 2147483648.0
                 new = np.minimum((sums <= (u * sums[:, -1])[:, None]).sum(axis=1), k - 1)
@@ -178,20 +180,21 @@ def _drawn(shared, k: int, alpha: float, eta: float, seed: Callable):
     return run
 
 
-def sweep_lists(docs: DataFrame, vocab: DataFrame, k: int, alpha: float, eta: float, seed: Callable, *, limit: int = MAX_COUNTS) -> DataFrame:
+def sweep_lists(docs: DataFrame, vocab: DataFrame, k: int, alpha: float, eta: float, seed: Callable, allowed: Column | None = None, *, limit: int = MAX_COUNTS) -> DataFrame:
     """(doc_id, pos, wid, z): jacobi_sweep of documents in rows, docs(doc_id bigint, pos, wid, z), lists but
     the first, every weight 1. A document's counts are made inside its row, those of words are broadcast, so
     no token is shuffled. More than limit counts are joined, by jacobi_sweep. docs is read three times.
-    seed(doc_id, pos): a whole number for each token, of columns or of arrays."""
+    seed(doc_id, pos): a whole number for each token, of columns or of arrays. allowed: array<boolean> by
+    topic, of doc_id, or all."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         # rows of one doc_id are one document
         docs = docs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "wid", "z")).alias("t")).select("doc_id", *[F.flatten(f"t.{c}").alias(c) for c in ("pos", "wid", "z")])
     v = vocab.where("used").count()
     if v * k > limit:
         each = docs.select("doc_id", F.explode(F.arrays_zip("pos", "wid", "z")).alias("t")).select("doc_id", "t.pos", "t.wid", "t.z", F.lit(1.0).alias("w"))
-        return jacobi_sweep(each, vocab, k, alpha, eta, seed(F.col("doc_id"), F.col("pos"))).drop("w")
+        return jacobi_sweep(each, vocab, k, alpha, eta, seed(F.col("doc_id"), F.col("pos")), allowed).drop("w")
     n = docs.select("wid", "z").mapInArrow(_counted(v, k), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(v * k, np.int64)
     counts[n.column("at").to_numpy()] = n.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts.reshape(v, k))
-    return docs.select("doc_id", "pos", "wid", "z").mapInArrow(_drawn(shared, k, alpha, eta, seed), "doc_id long, pos int, wid int, z int")
+    return docs.select("doc_id", "pos", "wid", "z", *([] if allowed is None else [allowed.alias("ok")])).mapInArrow(_drawn(shared, k, alpha, eta, seed), "doc_id long, pos int, wid int, z int")

@@ -408,9 +408,9 @@ def jacobi_sweep_2(spark, d):
 
 @query("doc_id:bigint pos:int wid:int z:int", f"with {ASG}, {KS}, {_sweep_sql('asg', 's1', 'a.doc_id * 1009 + a.pos * 7 + 3', f'(ks.z = 0 or ks.z = 1 + a.doc_id % {K - 1})')} select doc_id, pos, wid, z from s1")
 def labelled_mask_sweep(spark, d):
-    a, v = read(spark, d)
+    docs_, v = read_lists(spark, d)
     allowed = F.array(*[F.lit(True) if i == 0 else F.col("doc_id") % (K - 1) + 1 == i for i in range(K)])
-    return readout.jacobi_sweep(a, v, K, ALPHA, ETA, _seed(3), allowed)
+    return readout.sweep_lists(docs_, v, K, ALPHA, ETA, partial(_number, step=3), allowed)
 
 
 # --- coherence --------------------------------------------------------------------------------------
